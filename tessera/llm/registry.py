@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "perspectives", "near_dedup", "line_spread", "host_rules", "notice_scan", "quality_gam")
+MODULES = ("sharding", "decontaminate", "perspectives", "near_dedup", "line_spread", "host_rules", "notice_scan", "quality_gam")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
