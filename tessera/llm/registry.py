@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "decontaminate", "perspectives", "near_dedup", "line_spread", "host_rules", "notice_scan", "main_text", "quality_gam")
+MODULES = ("sharding", "decontaminate", "perspectives", "near_dedup", "line_spread", "host_rules", "notice_scan", "main_text", "quality_gam", "piece_lattice")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
