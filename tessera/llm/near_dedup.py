@@ -253,9 +253,11 @@ class NearDuplicates:
             left = left.join(to_pivot, ["id", "pivot"], "left").withColumn("sim", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
             left = stored(left)
             linked, rest = left.where(F.col("sim") >= threshold), left.where(F.col("sim") < threshold)
-            # 1 - similarity is a metric: only what is within twice the distance of the pivot can be near what is linked to it.
+            # 1 - similarity is a metric: only what is within twice the distance of the pivot can be near what is linked to
+            # it, and only what is about as far from the pivot.
             near = rest.where(F.col("sim") >= 2 * threshold - 1)
-            across = near.select("band", F.col("id").alias("x"), F.col("root").alias("rx")).join(linked.select("band", F.col("id").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry")
+            across = near.select("band", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx")).join(linked.select("band", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy")), "band")
+            across = across.where((F.col("rx") != F.col("ry")) & (F.col("sy") - F.col("sx") <= 1 - threshold + 1e-9))
             more, large = _candidates(rest.select("band", "id"), small if turn < 2 else 1 << 30)
             pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(more)
             compared = self.compare(stored(pairs.distinct().join(compared, ["a", "b"], "left_anti"))).union(compared)
