@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers that this session starts import this package, wherever the driver was started."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+from tessera.session import importable
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
