@@ -195,5 +195,5 @@ def translation_checks(source: Column, target: Column, source_lang: Column, targ
         F.lit("numbers_kept"), F.size(F.array_except(numbers(source), numbers(target))) == 0,
         F.lit("no_replacement_characters"), F.instr(target, "�") == 0,
         F.lit("ends_as_source"), F.regexp_like(source, F.lit("[.!?۔؟]$")) == F.regexp_like(target, F.lit("[.!?۔؟]$")),
-        F.lit("no_repeats"), ~F.regexp_like(target, F.lit(r"([\p{L}]{2,})( \1){3}")),
+        F.lit("no_markup"), F.instr(target, "<") == 0,
     )

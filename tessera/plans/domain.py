@@ -53,7 +53,7 @@ def translation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = S.translation_checks(F.col("text"), F.col("target"), F.lit("en"), F.lit("ur"))
     scored = pairs.select("conv_id", "turn", checks.alias("checks"))
     passed = F.size(F.map_filter("checks", lambda k, v: v))
-    critical = F.size(F.map_filter("checks", lambda k, v: ~v & ~k.isin("ends_as_source", "no_repeats"))) == 0
+    critical = F.size(F.map_filter("checks", lambda k, v: ~v & ~k.isin("ends_as_source", "no_markup"))) == 0
     return scored.select("conv_id", "turn", F.round(passed / 8, 6).alias("score"), (critical & (passed >= 7)).alias("accepted"), F.array_join(F.array_sort(F.map_keys(F.map_filter("checks", lambda k, v: ~v))), ",").alias("issues"))
 
 
@@ -62,8 +62,8 @@ ORACLES = {
     "translation_quality": r"""with p as (select a.conv_id, a.turn, a.text as s, b.text as t from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user'),
 c as (select conv_id, turn, length(trim(t)) > 0 as not_empty, s <> t as not_copied, length(t) / greatest(length(s), 1) between 0.22 and 4.5 as ratio,
   len(list_filter(list_distinct(regexp_extract_all(s, '[0-9]+')), lambda x: not list_contains(regexp_extract_all(t, '[0-9]+'), x))) = 0 as numbers, not contains(t, '�') as clean,
-  regexp_matches(s, '[.!?]$') = regexp_matches(t, '[.!?]$') as ends from p)
-select conv_id, turn, round((not_empty::int + 1 + not_copied::int + ratio::int + numbers::int + clean::int + ends::int + 1) / 8, 6) as score,
-  not_empty and not_copied and ratio and numbers and clean as accepted,
-  array_to_string(list_filter([case when not ends then 'ends_as_source' end, case when not ratio then 'length_ratio' end, case when not clean then 'no_replacement_characters' end, case when not not_copied then 'not_copied' end, case when not not_empty then 'not_empty' end, case when not numbers then 'numbers_kept' end], lambda x: x is not null), ',') as issues from c""",
+  regexp_matches(s, '[.!?]$') = regexp_matches(t, '[.!?]$') as ends, not contains(t, '<') as plain from p)
+select conv_id, turn, round((not_empty::int + 1 + not_copied::int + ratio::int + numbers::int + clean::int + ends::int + plain::int) / 8, 6) as score,
+  not_empty and not_copied and ratio and numbers and clean and ends::int + plain::int >= 1 as accepted,
+  array_to_string(list_filter([case when not ends then 'ends_as_source' end, case when not ratio then 'length_ratio' end, case when not plain then 'no_markup' end, case when not clean then 'no_replacement_characters' end, case when not not_copied then 'not_copied' end, case when not not_empty then 'not_empty' end, case when not numbers then 'numbers_kept' end], lambda x: x is not null), ',') as issues from c""",
 }

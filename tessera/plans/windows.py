@@ -12,7 +12,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-_BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def _seconds(a, b):
@@ -22,19 +23,19 @@ def _seconds(a, b):
 def gap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per stream: gaps above max(1.75 e, e + 0.35) for an expected gap e of six hours."""
     expected = 21_600.0
-    gaps = _events(spark, sf_dir).withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(_BY_USER)))
+    gaps = _events(spark, sf_dir).withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(_by_user())))
     return gaps.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("gap"), 3).alias("max_gap"), F.round(F.avg("gap"), 3).alias("avg_gap"), F.count_if(F.col("gap") > max(1.75 * expected, expected + 0.35)).alias("violations"))
 
 
 def recent_repeat_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the same kind of event stands among the stream's ten before it."""
-    before = F.collect_list("event_type").over(_BY_USER.rowsBetween(-10, -1))
+    before = F.collect_list("event_type").over(_by_user().rowsBetween(-10, -1))
     return _events(spark, sf_dir).select("event_id", F.array_contains(before, F.col("event_type")).alias("repeat"))
 
 
 def stable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = (~F.col("event_type").eqNullSafe(F.lag("event_type").over(_BY_USER))).cast("int")
-    runs = _events(spark, sf_dir).withColumn("changed", changed).withColumn("run", F.sum("changed").over(_BY_USER.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = (~F.col("event_type").eqNullSafe(F.lag("event_type").over(_by_user()))).cast("int")
+    runs = _events(spark, sf_dir).withColumn("changed", changed).withColumn("run", F.sum("changed").over(_by_user().rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first_event")).where("length >= 2").select("user_id", F.col("run").cast("long").alias("run"), "event_type", "length", "first_event")
 
 
@@ -80,12 +81,12 @@ def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).withColumn("n", F.row_number().over(_BY_USER)).where("n % 10 = 0").select("event_id", "user_id", F.col("n").cast("long").alias("n"))
+    return _events(spark, sf_dir).withColumn("n", F.row_number().over(_by_user())).where("n % 10 = 0").select("event_id", "user_id", F.col("n").cast("long").alias("n"))
 
 
 def rolling_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean confidence of a track's last three observations."""
-    return _events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(_BY_USER.rowsBetween(-2, 0)), 6).alias("mean3"))
+    return _events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(_by_user().rowsBetween(-2, 0)), 6).alias("mean3"))
 
 
 def backoff_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
