@@ -3,19 +3,21 @@
 1. Exact copies (equal word sequences) form a class; one pass gives each document's class and the corpus' document
    frequencies, in a table of fixed size by shingle hash.
 2. Each class gets K weighted samples, banded into BANDS keys of ROWS samples.
-3. In each bucket, classes are compared with each other (small buckets) or with a pivot (large ones), never all with all;
-   what the pivot leaves undecided is compared further until nothing is, see `_candidates`.
+3. In each bucket, classes are compared with each other (small buckets) or with a pivot (large ones). Where a large bucket
+   then holds more than one group, classes of different groups are compared if neither their distances to the pivot nor
+   their samples rule a link out, see `_undecided`.
 4. Candidates are verified by the exact weighted Jaccard similarity of their texts; links form groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored
@@ -31,10 +33,15 @@ DF_BITS = 19
 IDF_POWER = 0.25
 #: Buckets up to this size are compared all with all.
 SMALL = 16
+#: Samples (by four bits each) in which two classes of a large bucket may differ and still be compared: at the threshold
+#: 22.5 of 120 differ on average, and more than this once in 10,000 pairs or less.
+MAX_APART = 40
+#: Classes of a large bucket that one task compares with the rest of it.
+BLOCK = 256
 #: Document ids up to which the set of texts to verify is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Classes that a task remembers so as not to sign copies again.
-SEEN = 200_000
+#: Classes that a task remembers so as not to sign copies again, and shingles that it remembers while it compares.
+SEEN, REMEMBERED = 200_000, 2_000_000
 
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _M, _POOL_BITS, _BLOCKS = np.uint64(0x9E3779B97F4A7C15), 14, 3
@@ -80,8 +87,12 @@ def weigh(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of (sorted hashes, weights); 1 for two without a word."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    both = 0.0
+    if len(a[0]):
+        at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+        both = np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum()
     either = a[1].sum() + b[1].sum() - both
     return float(both / either) if either else 1.0
 
@@ -96,8 +107,11 @@ class Sampler:
         self.c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.beta = rng.random(shape).astype(np.float32)
 
-    def bands(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """BANDS keys of a class: each of ROWS samples (shingle, level); the same set gives the same keys anywhere."""
+    def bands(self, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BANDS keys of a class, each of ROWS samples (shingle, level), and four bits of every sample as 8 longs.
+
+        The same set gives the same keys anywhere. Longs 2k and 2k + 1 hold bit k of all samples.
+        """
         log_w = np.log(weight).astype(np.float32)[:, None]
         width, picked = K // _BLOCKS, np.zeros(K, np.uint64)
         for k in range(_BLOCKS):
@@ -117,7 +131,10 @@ class Sampler:
         keys = np.arange(1, BANDS + 1, dtype=np.uint64)
         for row in picked.reshape(BANDS, ROWS).T:
             keys = keys * _M + row
-        return _mix(keys).view(np.int64)
+        bits = np.zeros((4, 128), np.uint8)
+        for k in range(4):
+            bits[k, :K] = (picked >> np.uint64(k)) & np.uint64(1)
+        return _mix(keys).view(np.int64), np.packbits(bits, axis=1).reshape(-1).view(np.int64)
 
 
 _sampler: Sampler | None = None
@@ -152,7 +169,7 @@ def _signed(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sign, seen = idf.value, sampler(), set()
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, samples = [], [], []
             for text in batch.column(0).to_pylist():
                 found = words(text)
                 key = class_key(found)
@@ -163,26 +180,33 @@ def _signed(idf):
                 seen.add(key)
                 h, tf = shingles(found)
                 keys.append(key)
-                bands.append(sign.bands(h, weigh(h, tf, table)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "bands"])
+                signed = sign.bands(h, weigh(h, tf, table))
+                bands.append(signed[0])
+                samples.append(signed[1])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(samples, longs)], ["key", "bands", "samples"])
 
     return run
 
 
 def _compared(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last = idf.value, (None, None)
-
-        def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-            h, tf = shingles(words(text))
-            return h, weigh(h, tf, table)
+        table, known, size = idf.value, {}, 0
+
+        def weighted(doc_id: int, text: pa.StringScalar) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
+            if doc_id not in known:
+                h, tf = shingles(words(text.as_py()))
+                if size + len(h) > REMEMBERED:
+                    known.clear()
+                    size = 0
+                known[doc_id] = h, weigh(h, tf, table)
+                size += len(h)
+            return known[doc_id]
 
         for batch in batches:
-            sims = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != one:
-                    last = one, weighted(one)
-                sims.append(similarity(last[1], weighted(two)))
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            sims = [similarity(weighted(a, batch.column(2)[k]), weighted(b, batch.column(3)[k])) for k, (a, b) in enumerate(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     return run
@@ -221,6 +245,32 @@ def _candidates(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Data
     return stored(some.union(star).distinct()), large
 
 
+def _apart(x: str, y: str) -> Column:
+    """In how many samples two classes differ, by four bits of each."""
+    differ = lambda at: reduce(lambda p, q: p.bitwiseOR(q), [F.col(x)[2 * k + at].bitwiseXOR(F.col(y)[2 * k + at]) for k in range(4)])
+    return F.bit_count(differ(0)) + F.bit_count(differ(1))
+
+
+def _undecided(large: DataFrame, groups: DataFrame, compared: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different groups in the same large bucket that can still be linked.
+
+    1 - similarity is a metric, so linked classes are about as far from the pivot. A bucket's classes are dealt into
+    blocks, and the bucket is sent to each of its blocks: no task gets more than a block against the bucket.
+    """
+    rooted = large.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+    mixed = mixed.where("mixed").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    to_pivot = compared.select("a", "b", "sim").union(compared.select("b", "a", "sim")).toDF("id", "pivot", "sim")
+    rows = rooted.join(mixed, "band").join(to_pivot, ["id", "pivot"], "left").join(samples, "id")
+    rows = stored(rows.select("band", "blocks", "id", "root", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"), "samples"))
+    x = rows.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx"), F.col("samples").alias("px"))
+    y = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy"), F.col("samples").alias("py"))
+    meet = (x["band"] == y["band"]) & (x["block"] == y["block"]) & (F.col("rx") < F.col("ry"))
+    near = (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (_apart("px", "py") <= MAX_APART)
+    pairs = x.join(y, meet & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stored(pairs.join(compared, ["a", "b"], "left_anti"))
+
+
 class NearDuplicates:
     """The stages of one run; `links` and `groups` are the results."""
 
@@ -235,33 +285,16 @@ class NearDuplicates:
         df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
         self.idf = spark.sparkContext.broadcast(idf_table(df, self.docs.count()))
         self.classes = stored(self.docs.groupBy("key").agg(F.min("doc_id").alias("id")))
-        signed = self.rows.select("text").mapInArrow(_signed(self.idf), "key binary, bands array<long>")
-        signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands")).join(self.classes, "key").select("id", "bands"))
+        signed = self.rows.select("text").mapInArrow(_signed(self.idf), "key binary, bands array<long>, samples array<long>")
+        signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples")).join(self.classes, "key").select("id", "bands", "samples"))
         members = signed.select("id", F.explode_outer("bands").alias("band"))
         pairs, large = _candidates(members, small)
         compared = self.compare(pairs)
         self.links = compared.where(F.col("sim") >= threshold)
         self.groups = components(self.links)
-        # Large buckets that hold more than one group: what is not linked to the pivot itself is compared further.
-        for turn in range(3):
-            rooted = large.join(self.groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            mixed = rooted.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("band")
-            left = stored(rooted.join(mixed, "band"))
-            if left.isEmpty():
-                break
-            to_pivot = compared.select("a", "b", "sim").union(compared.select("b", "a", "sim")).toDF("id", "pivot", "sim")
-            left = left.join(to_pivot, ["id", "pivot"], "left").withColumn("sim", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
-            left = stored(left)
-            linked, rest = left.where(F.col("sim") >= threshold), left.where(F.col("sim") < threshold)
-            # 1 - similarity is a metric: only what is within twice the distance of the pivot can be near what is linked to
-            # it, and only what is about as far from the pivot.
-            near = rest.where(F.col("sim") >= 2 * threshold - 1)
-            across = near.select("band", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx")).join(linked.select("band", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy")), "band")
-            across = across.where((F.col("rx") != F.col("ry")) & (F.col("sy") - F.col("sx") <= 1 - threshold + 1e-9))
-            more, large = _candidates(rest.select("band", "id"), small if turn < 2 else 1 << 30)
-            pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(more)
-            compared = self.compare(stored(pairs.distinct().join(compared, ["a", "b"], "left_anti"))).union(compared)
-            self.links = compared.where(F.col("sim") >= threshold)
+        pairs = _undecided(large, self.groups, compared, signed.select("id", "samples"), threshold)
+        if not pairs.isEmpty():
+            self.links = self.links.union(self.compare(pairs).where(F.col("sim") >= threshold))
             self.groups = components(self.links)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
