@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,9 +34,12 @@ DF_BITS = 19
 IDF_POWER = 0.25
 #: Buckets up to this size are compared all with all.
 SMALL = 16
-#: Samples (by four bits each) in which two classes of a large bucket may differ and still be compared: at the threshold
-#: 22.5 of 120 differ on average, and more than this once in 10,000 pairs or less.
-MAX_APART = 40
+#: Two classes of a large bucket are compared unless they differ in more samples (by four bits each) than the mean at the
+#: threshold and this many standard deviations: once in some 10,000 pairs at the threshold.
+APART_SD = 4.0
+#: Further K samples each of the classes in large buckets of several groups: with 120 samples a similarity of 0.64 still
+#: passes, with 960 none below 0.75 in general.
+FINE = 8
 #: Classes of a large bucket that one task compares with the rest of it.
 BLOCK = 256
 #: Document ids up to which the set of texts to verify is broadcast (16 bytes each).
@@ -107,11 +111,8 @@ class Sampler:
         self.c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.beta = rng.random(shape).astype(np.float32)
 
-    def bands(self, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """BANDS keys of a class, each of ROWS samples (shingle, level), and four bits of every sample as 8 longs.
-
-        The same set gives the same keys anywhere. Longs 2k and 2k + 1 hold bit k of all samples.
-        """
+    def samples(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """K samples (shingle, level) as hashes; the same set gives the same samples anywhere."""
         log_w = np.log(weight).astype(np.float32)[:, None]
         width, picked = K // _BLOCKS, np.zeros(K, np.uint64)
         for k in range(_BLOCKS):
@@ -128,13 +129,27 @@ class Sampler:
                 key = h[start + low] ^ (t[low, col].astype(np.int64).astype(np.uint64) * _M)
                 picked[k * width : (k + 1) * width] = np.where(better, _mix(key), picked[k * width : (k + 1) * width])
                 best = np.minimum(best, a[low, col])
+        return picked
+
+    def bands(self, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BANDS keys of a class, each of ROWS samples, and four bits of every sample, see _four_bits()."""
+        picked = self.samples(h, weight)
         keys = np.arange(1, BANDS + 1, dtype=np.uint64)
         for row in picked.reshape(BANDS, ROWS).T:
             keys = keys * _M + row
-        bits = np.zeros((4, 128), np.uint8)
-        for k in range(4):
-            bits[k, :K] = (picked >> np.uint64(k)) & np.uint64(1)
-        return _mix(keys).view(np.int64), np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+        return _mix(keys).view(np.int64), _four_bits(picked)
+
+    def fine(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Four bits each of FINE * K further samples, independent of those of bands()."""
+        return np.concatenate([_four_bits(self.samples(_mix(h + np.uint64(k * int(_M) % 2**64)), weight)) for k in range(1, FINE + 1)])
+
+
+def _four_bits(picked: np.ndarray) -> np.ndarray:
+    """8 longs: 2k and 2k + 1 hold bit k of all samples."""
+    bits = np.zeros((4, 128), np.uint8)
+    for k in range(4):
+        bits[k, :K] = (picked >> np.uint64(k)) & np.uint64(1)
+    return np.packbits(bits, axis=1).reshape(-1).view(np.int64)
 
 
 _sampler: Sampler | None = None
@@ -189,6 +204,19 @@ def _signed(idf):
     return run
 
 
+def _sketched(idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sign = idf.value, sampler()
+        for batch in batches:
+            fine = []
+            for text in batch.column(1):
+                h, tf = shingles(words(text.as_py()))
+                fine.append(sign.fine(h, weigh(h, tf, table)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], ["id", "fine"])
+
+    return run
+
+
 def _compared(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, size = idf.value, {}, 0
@@ -245,29 +273,39 @@ def _candidates(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, Data
     return stored(some.union(star).distinct()), large
 
 
-def _apart(x: str, y: str) -> Column:
-    """In how many samples two classes differ, by four bits of each."""
+def _apart(x: str, y: str, rounds: int = 1) -> Column:
+    """In how many of `rounds` * K samples two classes differ, by four bits of each."""
     differ = lambda at: reduce(lambda p, q: p.bitwiseOR(q), [F.col(x)[2 * k + at].bitwiseXOR(F.col(y)[2 * k + at]) for k in range(4)])
-    return F.bit_count(differ(0)) + F.bit_count(differ(1))
+    return reduce(lambda p, q: p + q, [F.bit_count(differ(8 * r + half)) for r in range(rounds) for half in (0, 1)])
+
+
+def max_apart(samples: int, threshold: float) -> int:
+    """Differing samples up to which a similarity of `threshold` cannot be ruled out; a differing one shows in 15 of 16."""
+    p = (1 - threshold) * 15 / 16
+    return math.ceil(samples * p + APART_SD * math.sqrt(samples * p * (1 - p)))
+
+
+def _mixed(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, id, pivot, root, blocks) of the large buckets that hold more than one group."""
+    rooted = large.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+    return stored(rooted.join(mixed.where("mixed").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band"))
 
 
-def _undecided(large: DataFrame, groups: DataFrame, compared: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different groups in the same large bucket that can still be linked.
+def _undecided(mixed: DataFrame, compared: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, apart) of different groups in the same large bucket that can still be linked, with how far they are apart.
 
     1 - similarity is a metric, so linked classes are about as far from the pivot. A bucket's classes are dealt into
     blocks, and the bucket is sent to each of its blocks: no task gets more than a block against the bucket.
     """
-    rooted = large.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
-    mixed = mixed.where("mixed").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     to_pivot = compared.select("a", "b", "sim").union(compared.select("b", "a", "sim")).toDF("id", "pivot", "sim")
-    rows = rooted.join(mixed, "band").join(to_pivot, ["id", "pivot"], "left").join(samples, "id")
-    rows = stored(rows.select("band", "blocks", "id", "root", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"), "samples"))
-    x = rows.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx"), F.col("samples").alias("px"))
-    y = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy"), F.col("samples").alias("py"))
+    rows = mixed.join(to_pivot, ["id", "pivot"], "left").join(samples, "id")
+    rows = stored(rows.select("band", "blocks", "id", "root", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"), "samples", "fine"))
+    x = rows.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx"), F.col("samples").alias("px"), F.col("fine").alias("fx"))
+    y = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy"), F.col("samples").alias("py"), F.col("fine").alias("fy"))
     meet = (x["band"] == y["band"]) & (x["block"] == y["block"]) & (F.col("rx") < F.col("ry"))
-    near = (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (_apart("px", "py") <= MAX_APART)
-    pairs = x.join(y, meet & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (_apart("px", "py") <= max_apart(K, threshold)) & (_apart("fx", "fy", FINE) <= max_apart(FINE * K, threshold))
+    pairs = x.join(y, meet & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), _apart("fx", "fy", FINE).alias("apart")).distinct()
     return stored(pairs.join(compared, ["a", "b"], "left_anti"))
 
 
@@ -292,20 +330,34 @@ class NearDuplicates:
         compared = self.compare(pairs)
         self.links = compared.where(F.col("sim") >= threshold)
         self.groups = components(self.links)
-        pairs = _undecided(large, self.groups, compared, signed.select("id", "samples"), threshold)
-        if not pairs.isEmpty():
-            self.links = self.links.union(self.compare(pairs).where(F.col("sim") >= threshold))
-            self.groups = components(self.links)
+        mixed = _mixed(large, self.groups)
+        if mixed.isEmpty():
+            return
+        fine = self.texts(stored(mixed.select(F.col("id").alias("doc_id")).distinct())).mapInArrow(_sketched(self.idf), "id long, fine array<long>")
+        pairs = _undecided(mixed, compared, signed.select("id", "samples").join(fine, "id"), threshold)
+        # Those likely to be links first: they join groups, and what is then in one group needs no comparison.
+        likely = F.col("apart") <= FINE * K * (1 - threshold) * 15 / 16
+        for some in (likely, ~likely):
+            left = pairs.where(some).select("a", "b")
+            for end in ("a", "b"):
+                left = left.join(self.groups.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            left = stored(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+            if not left.isEmpty():
+                self.links = self.links.union(self.compare(left).where(F.col("sim") >= threshold))
+                self.groups = components(self.links)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, sim) of each pair, stored; the texts of the pairs' classes only are moved."""
-        wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sent = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = stored(self.rows.join(sent, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")))
+        texts = self.texts(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_compared(self.idf), "a long, b long, sim double"))
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, text) of the `wanted` doc_ids, stored."""
+        sent = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        return stored(self.rows.join(sent, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")))
+
     def members(self) -> DataFrame:
         """(doc_id, class_id): the lowest doc_id of each document's group, itself where it has none."""
         roots = self.classes.join(self.groups, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
