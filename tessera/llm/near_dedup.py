@@ -243,19 +243,33 @@ def _compared(idf):
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in `edges` (a, b): the lowest id of its component.
 
-    Labels fall to the lowest of the neighbours' and then to their label's label, until none falls; each round is
-    written to the shared folder, so a lost executor repeats one round at most.
+    Randomised contraction: in each round every node falls to the one of the lowest hash among itself and its neighbours,
+    and the edges between different nodes that are left go to the next round, with another hash. A group of any shape
+    shrinks by a constant factor a round on average. Each round is written to the shared folder, so a lost executor
+    repeats one round at most.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        fallen = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
-        hooked = labels.join(fallen, "id").select("id", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        jumped = hooked.join(labels.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.least("root", "next").alias("root"), (F.least("root", "next") < F.col("was")).alias("moved"))
-        jumped = stored(jumped)
-        labels = jumped.select("id", "root")
-        if jumped.where("moved").isEmpty():
-            return labels
+    lower = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stored(edges.select(*lower("a", "b")).distinct())
+    labels = stored(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().select("id", F.col("id").alias("root")))
+    left, n = left.where("a < b"), 0
+    while not left.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("rank"), F.col(c).alias("at"))  # noqa: B023, E731
+        near = left.select(F.col("a").alias("node"), F.col("b").alias("next")).union(left.select("b", "a"))
+        to = stored(near.groupBy("node").agg(F.min(ranked("next")).alias("low")).select("node", F.least("low", ranked("node"))["at"].alias("to")))
+        moved = left.join(to.toDF("a", "to_a"), "a").join(to.toDF("b", "to_b"), "b").where("to_a <> to_b")
+        left = stored(moved.select(*lower("to_a", "to_b")).distinct())
+        labels = stored(labels.join(to.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        n += 1
+    return stored(labels.join(labels.groupBy("root").agg(F.min("id").alias("low")), "root").select("id", F.col("low").alias("root")))
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """`groups` (id, root) after further `links` (a, b): only edges between different groups go through components()."""
+    nodes = groups.union(links.select(F.col("a").alias("id"), F.col("a").alias("root"))).union(links.select("b", "b"))
+    nodes = stored(nodes.groupBy("id").agg(F.min("root").alias("root")))
+    edges = links.join(nodes.toDF("a", "root_a"), "a").join(nodes.toDF("b", "root_b"), "b").where("root_a <> root_b")
+    top = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    return stored(nodes.join(top.toDF("root", "low"), "root", "left").select("id", F.coalesce("low", "root").alias("root")))
 
 
 def _candidates(members: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -343,8 +357,8 @@ class NearDuplicates:
                 left = left.join(self.groups.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
             left = stored(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
             if not left.isEmpty():
-                self.links = self.links.union(self.compare(left).where(F.col("sim") >= threshold))
-                self.groups = components(self.links)
+                more = self.compare(left).where(F.col("sim") >= threshold)
+                self.links, self.groups = self.links.union(more), joined(self.groups, more)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, sim) of each pair, stored; the texts of the pairs' classes only are moved."""

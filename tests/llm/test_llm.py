@@ -152,6 +152,16 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 20: 20, 30: 20}
 
 
+def test_components_of_a_long_path_and_of_further_links(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(2000, 2000)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)} | {2000: 2000}
+    assert {r.id: r.root for r in near_dedup.components(frame(edges)).collect()} == want
+    some = near_dedup.components(frame(edges[::2]))
+    assert {r.id: r.root for r in near_dedup.joined(some, frame(edges[1::2])).collect()} == want
+    assert near_dedup.components(frame([])).count() == 0
+
+
 def test_lines_by_spread(spark):
     texts = [f"own {k}\n shared by all\nshared by some {k % 2}\n\nend {k}" for k in range(24)] + [None]
     out = {r.doc_id: r for r in line_spread.line_spread(docs(spark, texts, [f"s{k}" for k in range(25)]), min_sites=13).collect()}
