@@ -310,16 +310,17 @@ def _undecided(mixed: DataFrame, compared: DataFrame, samples: DataFrame, thresh
     """Pairs (a, b, apart) of different groups in the same large bucket that can still be linked, with how far they are apart.
 
     1 - similarity is a metric, so linked classes are about as far from the pivot. A bucket's classes are dealt into
-    blocks, and the bucket is sent to each of its blocks: no task gets more than a block against the bucket.
+    blocks, and the bucket is sent to each of its blocks: no task gets more than a block against the bucket. A pair is
+    given by the lowest of the buckets that it shares; what rules it out there rules it out everywhere.
     """
     to_pivot = compared.select("a", "b", "sim").union(compared.select("b", "a", "sim")).toDF("id", "pivot", "sim")
-    rows = mixed.join(to_pivot, ["id", "pivot"], "left").join(samples, "id")
-    rows = stored(rows.select("band", "blocks", "id", "root", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"), "samples", "fine"))
-    x = rows.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx"), F.col("samples").alias("px"), F.col("fine").alias("fx"))
-    y = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy"), F.col("samples").alias("py"), F.col("fine").alias("fy"))
+    rows = mixed.join(to_pivot, ["id", "pivot"], "left").join(samples, "id").join(mixed.groupBy("id").agg(F.collect_set("band").alias("bands")), "id")
+    rows = stored(rows.select("band", "blocks", "id", "root", F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"), "samples", "fine", "bands"))
+    x = rows.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sim").alias("sx"), F.col("samples").alias("px"), F.col("fine").alias("fx"), F.col("bands").alias("bx"))
+    y = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sim").alias("sy"), F.col("samples").alias("py"), F.col("fine").alias("fy"), F.col("bands").alias("by"))
     meet = (x["band"] == y["band"]) & (x["block"] == y["block"]) & (F.col("rx") < F.col("ry"))
     near = (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (_apart("px", "py") <= max_apart(K, threshold)) & (_apart("fx", "fy", FINE) <= max_apart(FINE * K, threshold))
-    pairs = x.join(y, meet & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), _apart("fx", "fy", FINE).alias("apart")).distinct()
+    pairs = x.join(y, meet & near & (F.array_min(F.array_intersect("bx", "by")) == x["band"])).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), _apart("fx", "fy", FINE).alias("apart")).distinct()
     return stored(pairs.join(compared, ["a", "b"], "left_anti"))
 
 
