@@ -82,9 +82,8 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_pairs_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs within a label's block; the block is the operator's bound, as categories are in the story table."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500")
-    a, b = e.toDF("a", "va", "label"), e.toDF("b", "vb", "label")
-    return a.join(b, "label").where("a < b").select("a", "b", "label", (F.round(V.cosine(F.col("va"), F.col("vb")), 3) + 0.0).alias("sim")).where("sim >= 0.3")
+    pairs = V.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.2995)
+    return pairs.select("a", "b", "label", (F.round("sim", 3) + 0.0).alias("sim")).where("sim >= 0.3")
 
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.plans import registry
@@ -45,3 +46,17 @@ def test_keyset_pages_cover_all_rows_once(spark):
             break
         cursor = {"a": page[-1].a, "b": page[-1].b}
     assert seen == sorted(((i % 3, i) for i in range(25)), key=lambda x: (-x[0], x[1]))
+
+
+def test_cosine_pairs_of_all_vectors(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    vectors = {k: rng.normal(size=8).astype(np.float32).tolist() for k in (0, 3, 499, *range(500, 530), 1999, 40_000)}
+    rows = [(k, v, k % 2) for k, v in vectors.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = {k: np.asarray(v, float) / np.linalg.norm(np.asarray(v, float)) for k, v in vectors.items()}
+    want = {(a, b): round(float(unit[a] @ unit[b]), 3) for a in vectors for b in vectors if a < b and a % 2 == b % 2}
+    want = {k: v for k, v in want.items() if v >= 0.3}
+    assert any(a >= 500 for a, _ in want)
+    assert {(r.a, r.b): r.sim for r in registry.QUERIES["cosine_pairs_blocked"](spark, str(tmp_path)).collect()} == want
+    best = {a: max(((v, -b) for (x, b), v in want.items() if x == a)) for a, _ in want}
+    assert {r.a: (r.sim, -r.candidate) for r in registry.QUERIES["best_candidate"](spark, str(tmp_path)).collect()} == best
