@@ -18,15 +18,15 @@ SHARDS, ROUNDS = 40, 6
 UNIT_PART = 8
 #: Shards may grow by this part of an even share while labels move; the final cut is exact.
 SLACK = 0.05
-#: Hubs of a document: the lowest hashes of its distinct lines of this many characters or more.
-HUBS, HUB_CHARS = 2, 20
+#: Hubs of a document: its distinct lines of this many characters or more, as far as another unit has them.
+HUB_CHARS = 20
 OVERHEAD = 16
 
 
 def _described(docs: DataFrame, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.length(x) >= HUB_CHARS)
-    hubs = F.slice(F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))), 1, HUBS)
+    hubs = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(whole) + OVERHEAD).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.octet_length(whole)).alias("whole"), hubs.alias("hubs"))
 
 
@@ -41,6 +41,13 @@ def _units(rows: DataFrame, total: int, shards: int) -> DataFrame:
     return rows.join(F.broadcast(large), "whole", "left").withColumn("unit", part)
 
 
+def shared_hubs(units: DataFrame) -> DataFrame:
+    """(unit, hub, n): every hub of `units` (unit, n, hubs) that two units or more have."""
+    links = units.select("unit", "n", F.explode_outer("hubs").alias("hub")).where("hub is not null")
+    shared = links.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1").select("hub")
+    return links.join(shared, "hub").select("unit", "hub", "n")
+
+
 def propagate(units: DataFrame, edges: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """(unit, label): `units` (unit, n), `edges` (unit, hub, n). The driver sees sums by shard only: shards ** 2 numbers."""
     labels = stored(units.select("unit", "n", F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int").alias("label")))
@@ -78,14 +85,14 @@ def shard(docs: DataFrame, text: str = "text", shards: int = SHARDS, rounds: int
     spark = docs.sparkSession
     rows = stored(_described(docs, text))
     total = rows.count()
-    rows = stored(_units(rows, total, shards).select("doc_id", "size", "text_crc32", "unit", F.when(F.col("parts").isNull(), F.col("hubs")).otherwise(F.array_append("hubs", F.col("whole"))).alias("hubs"), F.element_at(F.array_append("hubs", F.col("whole")), 1).alias("hub")))
-    units = stored(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("hubs").alias("hubs")))
-    links = units.select("unit", "n", F.explode_outer("hubs").alias("hub")).where("hub is not null")
-    shared = links.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1").select("hub")
-    edges = stored(links.join(shared, "hub").select("unit", "hub", "n"))
+    rows = stored(_units(rows, total, shards).select("doc_id", "size", "text_crc32", "whole", "unit", F.when(F.col("parts").isNull(), F.col("hubs")).otherwise(F.array_append("hubs", F.col("whole"))).alias("hubs")))
+    units = stored(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("whole").alias("whole"), F.first("hubs").alias("hubs")))
+    edges = stored(shared_hubs(units))
+    first = edges.groupBy("unit").agg(F.min("hub").alias("hub"))
+    placing = stored(units.select("unit", "whole").join(first, "unit", "left").select("unit", F.coalesce("hub", "whole").alias("hub")))
     labels = propagate(units.select("unit", "n"), edges, shards, rounds)
     order = ["label", "hub", "unit", "doc_id"]
-    placed = rows.drop("hubs").join(labels, "unit").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = rows.drop("hubs", "whole").join(placing, "unit").join(labels, "unit").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = stored(placed.select("doc_id", "size", "text_crc32", "label", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     before, offsets = 0, []
     for r in sorted(placed.groupBy("part").count().collect(), key=lambda r: r["part"]):  # a row for each partition

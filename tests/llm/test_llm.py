@@ -262,3 +262,11 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert 100 < len(out) < 200 and out.round_trip.all() and math.isfinite(out.score.sum())
+
+
+def test_shards_are_linked_by_every_shared_line(spark):
+    texts = ["\n".join([f"a line of group {k % 4} that others have", f"another line of group {k % 4} as well", *(f"own line {j} of the text {k} alone" for j in range(40))]) for k in range(16)]
+    rows = sharding._described(docs(spark, texts), "text").selectExpr("doc_id as unit", "bigint(1) as n", "hubs")
+    links = [(r.unit, r.hub) for r in sharding.shared_hubs(rows).collect()]
+    assert len(links) == len(set(links)) == 32 and len({h for _, h in links}) == 8
+    assert Counter(u for u, _ in links) == {k: 2 for k in range(16)}
