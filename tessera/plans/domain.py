@@ -26,7 +26,7 @@ def additive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guarded_pair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one pseudo-day and category with their decision."""
-    rows = _observations(spark, sf_dir).withColumn("tokens", F.slice("tokens", 1, 200)).drop("seq", "minutes", "exact_hash", "hash")
+    rows = _observations(spark, sf_dir).drop("seq", "minutes", "exact_hash", "hash")
     sides = [rows.select("day", "category", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "source", "lang", "tokens", "numbers", "names", "negated", "vector")]) for s in "ab"]
     pairs = sides[0].join(sides[1], ["day", "category"]).where("id_a < id_b")
     return S.pair_decision(pairs).select("id_a", "id_b", (F.round("sim", 3) + 0.0).alias("sim"), "decision")

@@ -60,3 +60,13 @@ def test_cosine_pairs_of_all_vectors(spark, tmp_path):
     assert {(r.a, r.b): r.sim for r in registry.QUERIES["cosine_pairs_blocked"](spark, str(tmp_path)).collect()} == want
     best = {a: max(((v, -b) for (x, b), v in want.items() if x == a)) for a, _ in want}
     assert {r.a: (r.sim, -r.candidate) for r in registry.QUERIES["best_candidate"](spark, str(tmp_path)).collect()} == best
+
+
+def test_pair_decisions_see_all_words(spark, tmp_path):
+    from itertools import product
+
+    words = lambda first: ["".join((first, *x)) for x in product("bcdfghjklmnpqrstv", repeat=2)][:280]
+    texts = [" ".join(words("a") + words("z")), " ".join(words("e") + words("z"))]  # alphabetically first 200: none shared
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.95, 0.3122499], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in registry.QUERIES["guarded_pair_decisions"](spark, str(tmp_path)).collect()] == [(0, 1, 0.95, "merge")]
