@@ -6,6 +6,8 @@ frames) are as many as the data is long, and one key's rows are what the fold mu
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,10 +163,12 @@ def merge_frame_lines(lines: DataFrame) -> DataFrame:
         union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h
         return w * h / union if union > 0 else 0.0
 
-    def alike(a: str, b: str) -> float:
+    def alike(a: str, b: str, least: float) -> bool:
+        """Whether the ratio of the whole texts is `least` or more; its two upper bounds are asked first."""
         import difflib
 
-        return difflib.SequenceMatcher(None, a.casefold(), b.casefold()).ratio()
+        m = difflib.SequenceMatcher(None, a.casefold(), b.casefold(), autojunk=False)
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values(["engine", "y0", "x0", "text"])
@@ -173,11 +177,11 @@ def merge_frame_lines(lines: DataFrame) -> DataFrame:
             k = max(range(len(merged)), key=lambda j: over(merged[j], r), default=None)
             if k is None or over(merged[k], r) < 0.35:
                 merged.append(r)
-            elif alike(merged[k].text, r.text) >= 0.85 or merged[k].script == r.script:
+            elif merged[k].script == r.script or alike(merged[k].text, r.text, 0.85):
                 merged[k] = max(merged[k], r, key=lambda x: x.confidence)
             else:
                 merged[k] = merged[k]._replace(text=f"{merged[k].text} | {r.text}", script="mixed", confidence=min(merged[k].confidence, r.confidence))
-        out = [r for k, r in enumerate(merged) if not any(over(r, s) > 0.75 and alike(r.text, s.text) > 0.92 for s in merged[:k])]
+        out = [r for k, r in enumerate(merged) if not any(over(r, s) > 0.75 and alike(r.text, s.text, math.nextafter(0.92, 1)) for s in merged[:k])]
         out.sort(key=lambda r: ((r.y0 + r.y1) / 2, r.x0))
         return pd.DataFrame([(r.frame, k, r.text, r.confidence, r.script) for k, r in enumerate(out)], columns=["frame", "pos", "text", "confidence", "script"])
 

@@ -41,7 +41,7 @@ def frame_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     half = F.when(F.col("role") == "user", "primary").otherwise("fallback")
     y = (F.floor(F.col("turn") / 2) * 20.0).alias("y0")
-    lines = c.select(F.col("conv_id").alias("frame"), half.alias("engine"), F.substring("text", 1, 60).alias("text"), (F.pmod(F.xxhash64("text"), F.lit(100)) / 100).alias("confidence"), F.lit("en").alias("script"), F.lit(0.0).alias("x0"), y, F.lit(100.0).alias("x1"))
+    lines = c.select(F.col("conv_id").alias("frame"), half.alias("engine"), "text", (F.pmod(F.xxhash64("text"), F.lit(100)) / 100).alias("confidence"), F.lit("en").alias("script"), F.lit(0.0).alias("x0"), y, F.lit(100.0).alias("x1"))
     return S.merge_frame_lines(lines.withColumn("y1", F.col("y0") + 18.0))
 
 

@@ -70,3 +70,13 @@ def test_pair_decisions_see_all_words(spark, tmp_path):
     spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.95, 0.3122499], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in registry.QUERIES["guarded_pair_decisions"](spark, str(tmp_path)).collect()] == [(0, 1, 0.95, "merge")]
+
+
+def test_frame_lines_are_merged_by_their_whole_texts(spark, tmp_path):
+    same = "the same beginning of two lines that is longer than sixty characters "
+    long = " ".join(f"{k} and so on" for k in range(40))
+    turns = [(1, 0, "user", same + "ends here"), (1, 1, "user", same + "but the other line goes on for quite some while"), (2, 0, "user", long), (2, 1, "user", long + "!")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = registry.QUERIES["frame_line_merge"](spark, str(tmp_path)).collect()
+    assert {r.text for r in rows if r.frame == 1} == {t for c, _, _, t in turns if c == 1}
+    assert [r.text for r in rows if r.frame == 2] == [long]
