@@ -63,21 +63,23 @@ def script_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Short lines as sentences: (doc_id, pos, lang, text)."""
-    return docs.select("doc_id", "lang", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.length("line").between(20, 60))
+    """Lines as sentences: (doc_id, pos, lang, text)."""
+    return docs.select("doc_id", "lang", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
 
 
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct sentences of one language with token overlap of 0.5 or more, through shared tokens that are rare
-    enough to mark a pair: the prefix of each sentence's tokens by rarity that any partner must share."""
-    sentences = _lines(_docs(spark, sf_dir)).select("lang", F.lower(F.trim("line")).alias("s")).distinct().withColumn("t", F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).where(F.size("t") >= 4)
-    words = sentences.select("lang", "s", F.explode_outer("t").alias("w"))
+    enough to mark a pair: the prefix of each sentence's tokens by rarity that any partner must share. Until a pair is
+    found, a digest stands for the sentence, which may be long; sizes must allow the overlap."""
+    sentences = _lines(_docs(spark, sf_dir)).select("lang", F.lower(F.trim("line")).alias("s")).distinct().withColumn("t", F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).where(F.size("t") >= 4).withColumn("k", F.md5("s"))
+    words = sentences.select("lang", "k", F.size("t").alias("n"), F.explode_outer("t").alias("w"))
     ranked = words.join(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("df")), ["lang", "w"])
-    prefix = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang", "s").orderBy("df", "w"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang", "s"))).where("r <= n - ceil(0.5 * n) + 1").select("lang", "s", "w")
-    pairs = prefix.toDF("lang", "a", "w").join(prefix.toDF("lang", "b", "w"), ["lang", "w"]).where("a < b").select("lang", "a", "b").distinct()
-    sets = sentences.select("lang", "s", "t")
-    both = pairs.join(sets.toDF("lang", "a", "ta"), ["lang", "a"]).join(sets.toDF("lang", "b", "tb"), ["lang", "b"])
-    return both.withColumn("jaccard", F.round(T.token_jaccard(F.col("ta"), F.col("tb")), 6)).where("jaccard >= 0.5").select("lang", "a", "b", "jaccard")
+    prefix = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy("df", "w"))).where("r <= n - ceil(0.5 * n) + 1").select("lang", "k", "n", "w")
+    met = prefix.toDF("lang", "ka", "na", "w").join(prefix.toDF("lang", "kb", "nb", "w"), ["lang", "w"]).where("ka < kb and 2 * least(na, nb) >= greatest(na, nb)")
+    pairs = met.select("lang", "ka", "kb").distinct()
+    sets = sentences.select("lang", "k", "s", "t")
+    both = pairs.join(sets.toDF("lang", "ka", "sa", "ta"), ["lang", "ka"]).join(sets.toDF("lang", "kb", "sb", "tb"), ["lang", "kb"])
+    return both.withColumn("jaccard", F.round(T.token_jaccard(F.col("ta"), F.col("tb")), 6)).where("jaccard >= 0.5").select("lang", F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "jaccard")
 
 
 def cosine_pairs_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,15 @@ def test_frame_lines_are_merged_by_their_whole_texts(spark, tmp_path):
     rows = registry.QUERIES["frame_line_merge"](spark, str(tmp_path)).collect()
     assert {r.text for r in rows if r.frame == 1} == {t for c, _, _, t in turns if c == 1}
     assert [r.text for r in rows if r.frame == 2] == [long]
+
+
+def test_token_pairs_of_lines_of_any_length(spark, tmp_path):
+    from itertools import combinations
+
+    long = " ".join(f"word{k}" for k in range(300))
+    lines = ["a b c d", "A b c e", "a b c d e", "x y z", "one line of some forty characters in all", "one line of some forty letters in all", long, long.replace("word7 ", "other "), long.replace("word", "else")]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(lines + lines[:2])] + [(90, "\n".join(lines), "en"), (91, "a b c d", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {x.lower(): set(x.lower().split()) for x in lines if len(set(x.split())) >= 4}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in combinations(sorted(sets), 2)}
+    got = {(r.a, r.b): r.jaccard for r in registry.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.5} and len(got) >= 4
