@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.session import importable
+from tessera import session
+
+#: Texts in an Arrow batch. They can be long, and JVM, Arrow and Python hold a batch at the same time.
+BATCH_ROWS = 500
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def importable(spark: SparkSession) -> None:
+    """As the session's, and Arrow batches of texts that stay small, unless the session sets a smaller size."""
+    session.importable(spark)
+    if int(spark.conf.get(_BATCH_CONF, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +30,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, set here only where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only a local session may go without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """For a worker's task: what `owner` remembers between tasks may stay, what other operators left there goes.
+
+    Workers are reused from stage to stage; without this, one holds the caches of every operator that ran in it.
+    """
+    for name in [x for x in _held if x != owner]:
+        _held.pop(name)()
+    _held[owner] = drop
+    release()
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
@@ -38,7 +76,3 @@ def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

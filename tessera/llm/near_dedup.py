@@ -1,7 +1,7 @@
 """MinHash near-dedup (operator 4): improved consistent weighted sampling over TF-IDF shingles.
 
 1. Exact copies (equal word sequences) form a class; one pass gives each document's class and the corpus' document
-   frequencies, in a table of fixed size by shingle hash.
+   frequencies, in two tables of fixed size by shingle hash.
 2. Each class gets K weighted samples, banded into BANDS keys of ROWS samples.
 3. In each bucket, classes are compared with each other (small buckets) or with a pivot (large ones). Where a large bucket
    then holds more than one group, classes of different groups are compared if neither their distances to the pivot nor
@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,17 +22,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import claim, read, stored
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8**6)**20 = 0.998 of the pairs at the threshold meet in a band.
 BANDS, ROWS = 20, 6
 K = BANDS * ROWS
-#: Entries of the document frequency table; its size, and what is broadcast of it, do not grow with the corpus.
-DF_BITS = 19
-#: Weight of a shingle: tf * idf ** IDF_POWER. A low power keeps large groups of near copies, whose common shingles are
-#: frequent for that reason, above the threshold, and still makes shared boilerplate weigh less.
-IDF_POWER = 0.25
+#: Document frequencies are counted in two tables of 2 ** DF_BITS entries by different bits of a shingle's hash; their size,
+#: and what is broadcast of them, do not grow with the corpus.
+DF_BITS = 16
+#: A shingle weighs tf * (1 + ln(1 / share)), where share is the part of all documents that have it, RARE at least: the
+#: rarer ones weigh alike. So weights depend on shares, not on the corpus' size, and the tables can tell them at any size.
+RARE = 0.01
 #: Buckets up to this size are compared all with all.
 SMALL = 16
 #: Two classes of a large bucket are compared unless they differ in more samples (by four bits each) than the mean at the
@@ -48,6 +50,8 @@ BROADCAST_ROWS = 1_000_000
 SEEN, REMEMBERED = 200_000, 2_000_000
 
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Letters of scripts without spaces between words: each is a word of its own.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _M, _POOL_BITS, _BLOCKS = np.uint64(0x9E3779B97F4A7C15), 14, 3
 
 
@@ -58,7 +62,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_GAPS).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode().translate(_GAPS).split()
 
 
 def class_key(found: list[bytes]) -> bytes:
@@ -77,16 +84,26 @@ def shingles(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's entry in each of the two tables."""
+    mask = np.uint64((1 << DF_BITS) - 1)
+    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64), ((h >> np.uint64(64 - 2 * DF_BITS)) & mask).astype(np.int64)
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return ((1 + np.log((1.0 + n) / (1.0 + np.minimum(df, n)))) ** IDF_POWER).astype(np.float32)
+def idf_tables(df: np.ndarray, n: int) -> np.ndarray:
+    """idf by entry, of the tables' counts (2, 2 ** DF_BITS) over `n` documents.
+
+    An entry's usual count is what rare shingles add up to there, and grows with the corpus; what is above it is the
+    frequent shingle's own.
+    """
+    own = np.maximum(df - np.median(df, axis=1, keepdims=True), 0)
+    return (1 - np.log(np.clip(own / max(1, n), RARE, 1.0))).astype(np.float32)
 
 
 def weigh(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf * idf[bucket(h)].astype(np.float64)
+    """tf-idf; of a shingle's two entries, that with less of others in it counts."""
+    first, second = buckets(h)
+    return tf * np.maximum(idf[0][first], idf[1][second]).astype(np.float64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,30 +169,35 @@ def _four_bits(picked: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).reshape(-1).view(np.int64)
 
 
-_sampler: Sampler | None = None
+_kept: dict[str, Sampler] = {}
 
 
 def sampler() -> Sampler:
-    global _sampler
-    _sampler = _sampler or Sampler()
-    return _sampler
+    """A worker's sampler, made once."""
+    claim("near_dedup", _kept.clear)
+    if "sampler" not in _kept:
+        _kept["sampler"] = Sampler()
+    return _kept["sampler"]
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, null, null) of each document, at the end (null, null, bucket, documents) of what the task read."""
-    names = ["doc_id", "key", "bucket", "n"]
-    df = np.zeros(1 << DF_BITS, np.int64)
+    """(doc_id, key, null, null) of each document, at the end (null, null, entry, documents) of what the task read."""
+    claim("near_dedup", _kept.clear)
+    names = ["doc_id", "key", "entry", "n"]
+    df = np.zeros((2, 1 << DF_BITS), np.int64)
     for batch in batches:
         keys = []
-        for text in batch.column(1).to_pylist():
-            found = words(text)
+        for text in batch.column(1):
+            found = words(text.as_py())
             keys.append(class_key(found))
-            np.add.at(df, bucket(shingles(found)[0]), 1)
+            for table, at in zip(df, buckets(shingles(found)[0]), strict=True):
+                np.add.at(table, at, 1)
         nothing = pa.nulls(len(keys), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), nothing, nothing], names)
+    df = df.ravel()
     at = np.flatnonzero(df)
-    for start in range(0, len(at), 100_000):
-        part = at[start : start + 100_000]
+    for start in range(0, len(at), 50_000):
+        part = at[start : start + 50_000]
         nothing = pa.nulls(len(part), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(df[part])], names)
 
@@ -185,8 +207,8 @@ def _signed(idf):
         table, sign, seen = idf.value, sampler(), set()
         for batch in batches:
             keys, bands, samples = [], [], []
-            for text in batch.column(0).to_pylist():
-                found = words(text)
+            for text in batch.column(0):
+                found = words(text.as_py())
                 key = class_key(found)
                 if not found or key in seen:
                     continue
@@ -219,6 +241,7 @@ def _sketched(idf):
 
 def _compared(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _kept.clear)
         table, known, size = idf.value, {}, 0
 
         def weighted(doc_id: int, text: pa.StringScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -331,12 +354,12 @@ class NearDuplicates:
         spark = docs.sparkSession
         self.threshold = threshold
         self.rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-        once = stored(self.rows.mapInArrow(_classes, "doc_id long, key binary, bucket long, n long"))
+        once = stored(self.rows.mapInArrow(_classes, "doc_id long, key binary, entry long, n long"))
         self.docs = once.where("key is not null").select("doc_id", "key")
-        counts = once.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        df = np.zeros(1 << DF_BITS, np.int64)
-        df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-        self.idf = spark.sparkContext.broadcast(idf_table(df, self.docs.count()))
+        counts = once.where("entry is not null").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(2 << DF_BITS, np.int64)
+        df[counts["entry"].to_numpy()] = counts["n"].to_numpy()
+        self.idf = spark.sparkContext.broadcast(idf_tables(df.reshape(2, -1), self.docs.count()))
         self.classes = stored(self.docs.groupBy("key").agg(F.min("doc_id").alias("id")))
         signed = self.rows.select("text").mapInArrow(_signed(self.idf), "key binary, bands array<long>, samples array<long>")
         signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples")).join(self.classes, "key").select("id", "bands", "samples"))
@@ -383,7 +406,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     """(doc_id, class_id, kept) of each row of `docs`; kept where doc_id is its group's lowest.
 
     Groups are the connected components of links of weighted Jaccard similarity `threshold` or more over shingles of five
-    lower-case words; texts with equal words are linked without more ado, those without any word too (null, empty).
+    lower-case words (in scripts without spaces each letter is a word); texts with equal words are linked without more ado, those without any word too (null, empty).
     doc_id identifies a text: rows that repeat it are copies. Rows with a null doc_id are left out. An empty table gives
     no rows; other columns are left out. Whole texts are used.
     """

@@ -105,10 +105,11 @@ def test_perspectives(spark):
 
 def _links(texts):
     s = [near_dedup.shingles(near_dedup.words(t)) for t in texts]
-    df = np.zeros(1 << near_dedup.DF_BITS, np.int64)
+    df = np.zeros((2, 1 << near_dedup.DF_BITS), np.int64)
     for h, _ in s:
-        np.add.at(df, near_dedup.bucket(h), 1)
-    idf = near_dedup.idf_table(df, len(texts))
+        for table, at in zip(df, near_dedup.buckets(h), strict=True):
+            np.add.at(table, at, 1)
+    idf = near_dedup.idf_tables(df, len(texts))
     w = [(h, near_dedup.weigh(h, tf, idf)) for h, tf in s]
     return {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if near_dedup.similarity(w[a], w[b]) >= near_dedup.THRESHOLD}
 
@@ -134,6 +135,50 @@ def test_near_duplicates_against_brute_force(spark, small):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_near_duplicates_of_a_real_table_against_brute_force(spark):
+    """Every pair of sf0.01 whose weighted Jaccard reaches the threshold is in one group: recall of links, near the threshold too."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    s = [near_dedup.shingles(near_dedup.words(t)) for t in rows.text]
+    df = np.zeros((2, 1 << near_dedup.DF_BITS), np.int64)
+    for h, _ in s:
+        for table, at in zip(df, near_dedup.buckets(h), strict=True):
+            np.add.at(table, at, 1)
+    idf = near_dedup.idf_tables(df, len(rows))
+    w = [(h, near_dedup.weigh(h, tf, idf)) for h, tf in s]
+    total = [x[1].sum() for x in w]
+    holders = {}
+    for k, (h, _) in enumerate(w):
+        for x in h.tolist():
+            holders.setdefault(x, []).append(k)
+    pairs = {p for ks in holders.values() for p in itertools.combinations(ks, 2)}
+    pairs = {(a, b) for a, b in pairs if min(total[a], total[b]) >= near_dedup.THRESHOLD * max(total[a], total[b])}
+    links = {(a, b): v for a, b in pairs if (v := near_dedup.similarity(w[a], w[b])) >= near_dedup.THRESHOLD}
+    group = dict(near_dedup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "class_id").collect())
+    caught = {p: group[int(rows.doc_id[p[0]])] == group[int(rows.doc_id[p[1]])] for p in links}
+    close = [ok for p, ok in caught.items() if links[p] < 0.85]
+    assert len(links) > 50 and np.mean(list(caught.values())) >= 0.98 and (not close or np.mean(close) >= 0.9)
+
+
+def test_weights_do_not_depend_on_the_size_of_the_corpus():
+    rng = np.random.default_rng(5)
+    common, idf = rng.integers(0, 1 << 63, 3).astype(np.uint64), []
+    for n in (2_000, 200_000):  # documents of 100 rare shingles each; each of the common ones in a fifth of them
+        df = np.zeros((2, 1 << near_dedup.DF_BITS), np.int64)
+        for table, at in zip(df, near_dedup.buckets(rng.integers(0, 1 << 63, 100 * n).astype(np.uint64)), strict=True):
+            table += np.bincount(at, minlength=len(table))
+        for table, at in zip(df, near_dedup.buckets(common), strict=True):
+            np.add.at(table, at, n // 5)
+        idf.append(near_dedup.weigh(np.concatenate([common, rng.integers(0, 1 << 63, 50).astype(np.uint64)]), np.ones(53), near_dedup.idf_tables(df, n)))
+    assert np.allclose(idf[0][:3], 1 + np.log(5), atol=0.1) and np.allclose(idf[0][:3], idf[1][:3], atol=0.1)
+    assert (idf[0][3:] > 5.4).all() and (idf[1][3:] > 5.4).all()
+
+
+def test_words_of_scripts_without_spaces():
+    a = "".join(chr(0x4E00 + k) for k in range(400))
+    x, y = (near_dedup.shingles(near_dedup.words(t)) for t in (a, a[:200] + "\u9fa0" + a[201:]))
+    assert len(x[0]) == 396 and near_dedup.similarity(x, y) > 0.9
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
