@@ -16,13 +16,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import claim, read
 
 MODEL, NBEST = "/opt/tokenizers/piece_bpe_32k.model", 3
 SPACE = "▁"
@@ -30,12 +31,12 @@ SPACE = "▁"
 _STAND_IN = "\U0010fffe"
 _LITERAL = {_STAND_IN: SPACE}
 #: Parts remembered at most in a worker; then it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Texts whose new parts are searched together.
 TEXTS = 256
 #: Longer parts are searched each time.
 LONGEST = 48
-#: Scores are whole hundred-thousandths, so that sums do not depend on their order and a part's fit 32 bits.
+#: Scores are whole hundred-thousandths, so that sums do not depend on their order.
 SCALE = 100_000
 #: A byte piece costs this many times the rarest piece's cost.
 BYTE_COST = 1.5
@@ -47,15 +48,15 @@ NEVER = 1 << 60
 CELLS = 120_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
-#: Below every score of a part.
-_LOST = -1_000_000_000
+#: Below every score of a part of up to 10 ** 9 characters; two of them fit 64 bits.
+_LOST = -(1 << 61)
 
 
 class Lattice:
-    def __init__(self, model: str = MODEL, nbest: int = NBEST) -> None:
+    def __init__(self, proto: bytes, nbest: int = NBEST) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.nbest, self.size = nbest, sp.vocab_size()
         self.raw: list[bytes] = [b""] * self.size
         self.byte_ids = [0] * 256
@@ -143,7 +144,7 @@ class Lattice:
         codes = np.frombuffer(spelt.encode("utf-32-le"), np.uint32).reshape(n, size)
         lens = np.fromiter(map(len, parts), np.int64, n)
         # by part, end and width - length: longest first
-        score = np.full((n, size + 1, width), _LOST, np.int32)
+        score = np.full((n, size + 1, width), _LOST, np.int64)
         ids = np.zeros((n, size + 1, width), np.int32)
         row, at = np.nonzero(np.arange(size) < lens[:, None])
         h = np.zeros(len(row), np.uint64)
@@ -161,9 +162,9 @@ class Lattice:
                 ids[row[~good], at[~good] + 1, width - 1] = -1 - code.astype(np.int64)
             go = (entry >= 0) & self.entry_longer[entry] & (at + k < lens[row])
             row, at, h = row[go], at[go], h[go]
-        best = np.full((n, size + 1 + width), _LOST, np.int32)  # shifted by width: best[:, width] is the start
+        best = np.full((n, size + 1 + width), _LOST, np.int64)  # shifted by width: best[:, width] is the start
         best[:, width] = 0
-        choice, aside = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int32)
+        choice, aside = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
         every = np.arange(n)
         for b in range(1, size + 1):
             ahead = best[:, b : b + width] + score[:, b]
@@ -172,7 +173,7 @@ class Lattice:
             ahead[every, top] = 2 * _LOST
             best[:, width + b], choice[:, b] = np.maximum(first, _LOST), top
             aside[:, b] = first - np.maximum(ahead.max(1), _LOST)
-        pos, loss, path = lens.copy(), np.full(n, -_LOST, np.int32), []
+        pos, loss, path = lens.copy(), np.full(n, -_LOST, np.int64), []
         while (live := pos > 0).any():
             top = choice[every, pos]
             loss = np.where(live, np.minimum(loss, aside[every, pos]), loss)
@@ -314,14 +315,22 @@ class Lattice:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_open: dict[tuple[str, int], Lattice] = {}
+_open: dict[tuple[int, int], Lattice] = {}
 
 
-def lattice(model: str = MODEL, nbest: int = NBEST) -> Lattice:
-    """A worker's lattice, read once."""
-    if (model, nbest) not in _open:
-        _open[model, nbest] = Lattice(model, nbest)
-    return _open[model, nbest]
+def lattice(proto: bytes | None = None, nbest: int = NBEST) -> Lattice:
+    """A worker's lattice of a model (its bytes; None: of MODEL), made once, as long as no other operator works there."""
+    proto = Path(MODEL).read_bytes() if proto is None else proto
+    claim("piece_lattice", _open.clear)
+    key = zlib.crc32(proto), nbest
+    if key not in _open:
+        _open[key] = Lattice(proto, nbest)
+    return _open[key]
+
+
+def _shipped(df: DataFrame, model: str):
+    """The model's bytes for the executors, which need not have the file: half a megabyte, whatever the tables hold."""
+    return df.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
 
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean"
@@ -335,8 +344,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, nbest: int =
     gives no rows; other columns are left out. Whole texts are encoded; what a worker remembers is bounded.
     """
 
+    proto = _shipped(docs, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = lattice(model, nbest)
+        at = lattice(proto.value, nbest)
         for batch in batches:
             ids, crc, score, scores, lengths, back = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()
@@ -357,10 +368,14 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, nbest: int =
 
 
 def decode(encoded: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give null."""
+    """(doc_id, text) of (doc_id, ids): null ids give null, empty ids the empty text; a null doc_id is a value like others.
+
+    Repeated rows are alike; an empty table gives no rows; other columns are left out.
+    """
+    proto = _shipped(encoded, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = lattice(model, nbest)
+        at = lattice(proto.value, nbest)
         for batch in batches:
             texts = [None if x is None else at.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

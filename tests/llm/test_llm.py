@@ -294,6 +294,17 @@ def test_nbest_against_all_segmentations():
         assert [s for s, _ in lattice.search(spelt)] == [s for s, _ in best]
 
 
+@pytest.mark.parametrize("text", ["z" * 5_000, "ha" * 2_500, "ACGT" * 600])
+def test_long_runs_are_searched_like_short_ones(text):
+    lattice = piece_lattice.lattice()
+    found = next(lattice.encode([text]))
+    spelt = (" " + text).replace(" ", "▁")
+    best = lattice.search(spelt)
+    assert found[0][0] == best[0][0] and lattice.decode(found[0][1].tolist()) == text
+    parts = lattice.parts(text)
+    assert sum(lattice.known[p][0] for p in parts) == best[0][0]
+
+
 def test_encode_round_trip(spark):
     texts = [*EDGE, "Ünï ▁ 漢字 \x00 😀 tail  ", "z" * 500]
     out = piece_lattice.encode(docs(spark, texts))
