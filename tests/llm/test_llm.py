@@ -73,20 +73,85 @@ def test_leaks_exact_and_edited(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()) == [2, 3, 5]
 
 
+def _word_list(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def _leaks_by_brute_force(texts, items, threshold=0.8):
+    """Every window of every item's size at every start, also cut at the ends; weights as the module has them."""
+    sh = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    of = {k: Counter(sh(_word_list(t))) for k, t in items.items()}
+    of = {k: c for k, c in of.items() if c}
+    df = Counter(x for c in of.values() for x in c)
+    weight = lambda x: round(1000 * math.log1p(len(of) / df.get(x, 1)))
+    total = {k: sum(n * weight(x) for x, n in c.items()) for k, c in of.items()}
+    found = set()
+    for d, text in texts.items():
+        s = sh(_word_list(text))
+        where = {x for x in s if x in df}
+        for k, c in of.items():
+            if sum(weight(x) * min(n, s.count(x)) for x, n in c.items() if x in where) < threshold * total[k]:
+                continue
+            n = sum(c.values())
+            for start in range(1 - n, len(s)):
+                window = Counter(s[max(0, start) : start + n])
+                both = sum(min(n, c[x]) * weight(x) for x, n in window.items() if x in c)
+                if both >= threshold * (total[k] + sum(n * weight(x) for x, n in window.items()) - both):
+                    found.add((d, k))
+                    break
+    return found
+
+
+def test_leaks_against_all_windows(spark):
+    rng = np.random.default_rng(11)
+    items = {k: passage(300 + k, int(rng.integers(60, 110))) for k in range(12)}
+    texts = {}
+    for k in range(90):
+        words = items[k % 12].split()
+        for at in rng.choice(len(words), int(rng.integers(0, 3)), replace=False):
+            words[at] = "changed"
+        if k % 3 == 1:  # halves in swapped order
+            words = words[len(words) // 2 :] + words[: len(words) // 2]
+        if k % 3 == 2:
+            words.insert(len(words) // 2, "a few words put in between")
+        texts[k] = f"{passage(400 + k, 40)} {' '.join(words)} {passage(500 + k, 40)}" if k % 5 else " ".join(words)
+    want = _leaks_by_brute_force(texts, items)
+    frame = docs(spark, [texts[k] for k in range(90)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_leaks_of_a_real_table_against_all_windows(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    items = dict(spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    want = _leaks_by_brute_force(texts, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, sf).collect()}
+    assert want and len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_leaks_without_doc_id_and_repeated_rows(spark):
+    rows = [(None, passage(1, 60)), (None, passage(2, 60)), (None, passage(70, 60)), (3, passage(1, 60)), (3, passage(1, 60)), (4, "b " * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage(1, 60)), (2, passage(2, 60)), (2, passage(2, 60))], "item_id long, text string")
+    assert sorted((r.doc_id or -1, r.item_id) for r in decontaminate.leaks(frame, bench).collect()) == [(-1, 1), (-1, 2), (3, 1)]
+    assert sorted(r.text for r in decontaminate.decontaminate(frame, bench).collect()) == sorted([passage(70, 60), "b " * 40])
+
+
 def test_multi_index_finds_all_within_radius(spark):
     rng = np.random.default_rng(3)
     prints = rng.integers(-(1 << 62), 1 << 62, 20)
     probes = []
     for k, p in enumerate(prints):
-        for flips in (0, 5, 15, 16):
+        for flips in (0, 5, 15, 19, 20):
             v = int(p) & 0xFFFFFFFFFFFFFFFF
             for b in rng.choice(64, flips, replace=False):
                 v ^= 1 << int(b)
-            probes.append((k, flips, 0, 5, v - (1 << 64) if v >> 63 else v, 1))
-    windows = spark.createDataFrame(probes, "doc_id long, whole long, start int, n_words int, print long, total long")
+            probes.append((k, False, flips, 0, 5, v - (1 << 64) if v >> 63 else v, 1))
+    windows = spark.createDataFrame(probes, "doc_id long, no_id boolean, whole long, start int, n_words int, print long, total long")
     items = spark.createDataFrame([(k, int(p), 1) for k, p in enumerate(prints)], "item_id long, print long, total long")
     got = {(r.doc_id, r.whole, r.item_id) for r in decontaminate.within_radius(windows, items).collect()}
-    want = {(a, f, k) for a, f, _, _, v, _ in probes for k, p in enumerate(prints) if ((v ^ int(p)) & 0xFFFFFFFFFFFFFFFF).bit_count() <= decontaminate.RADIUS}
+    want = {(a, f, k) for a, _, f, _, _, v, _ in probes for k, p in enumerate(prints) if ((v ^ int(p)) & 0xFFFFFFFFFFFFFFFF).bit_count() <= decontaminate.RADIUS}
     assert got == want
 
 
