@@ -279,6 +279,29 @@ def test_lines_by_spread(spark):
     assert all(out[k].text == f"own {k}\nshared by some {k % 2}\n\nend {k}" and out[k].n_removed == 1 for k in range(1, 24))
 
 
+def test_long_lines_need_two_sites(spark):
+    long, own = passage(61, 60), lambda k: "\n".join(passage(900 + 10 * k + j, 45) for j in range(3))
+    texts = [f"{own(0)}\n{long}", f"{own(1)}\n  {long}", f"{long}\nshort", long, f"{own(4)}\n{passage(62, 60)}", f"{own(5)}\n{passage(62, 60)}"]
+    out = {r.doc_id: r for r in line_spread.line_spread(docs(spark, texts, ["a", "b", "c", "d", "e", "e"])).collect()}
+    assert out[1].text == own(1) and out[1].n_removed == 1
+    assert all(out[k].text == texts[k] and out[k].n_removed == 0 for k in (0, 2, 3, 4, 5))  # the first; copies; one site only
+
+
+def test_lines_without_doc_ids_ties_and_clashing_names(spark):
+    rows = [(None, f"own {k}\nshared", f"s{k}", 7, 8, 9) for k in range(6)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, pos int, first int")
+    out = line_spread.line_spread(frame, min_sites=5).collect()
+    assert len(out) == 12 and {r.n_lines for r in out} == {2} and {r.first for r in out} == {9}
+    assert sorted(r.text for r in out if "shared" in r.text) == [x for x in sorted({r.text for r in out if "shared" in r.text}) for _ in "ab"]
+    assert len({r.text for r in out if "shared" in r.text}) == 1
+
+
+def test_a_text_of_many_lines(spark):
+    frame = docs(spark, ["\n".join(["menu"] * 30_000 + [f"own {k}"]) for k in range(12)], [f"s{k}" for k in range(12)])
+    out = {r.doc_id: r for r in line_spread.line_spread(frame).collect()}
+    assert out[3].text == "own 3" and out[3].n_removed == 30_000 and out[0].n_removed == 0
+
+
 def test_host_rules(spark):
     good = passage(1, 40)
     texts = ["short"] * 20 + [good] * 20 + [good, good, None, "short"]
