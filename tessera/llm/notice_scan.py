@@ -7,6 +7,7 @@ bounded errors and yields the span and the number of edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,14 +29,21 @@ NOTICES = (
     ("gnu affero general public license", "agpl", 3),
     ("redistribution and use in source and binary forms with or without modification", "bsd", 6),
     ("subject to the terms of the mozilla public license", "mpl", 5),
-    ("licensed under cc by nc", "cc-by-nc", 2),
+    ("licensed under cc by", "cc-by", 1),
     ("licensed under cc by sa", "cc-by-sa", 2),
+    ("licensed under cc by nc", "cc-by-nc", 2),
+    ("licensed under cc by nd", "cc-by-nd", 2),
+    ("licensed under cc by nc sa", "cc-by-nc-sa", 2),
+    ("licensed under cc by nc nd", "cc-by-nc-nd", 2),
     ("licensed under the creative commons attribution", "cc", 4),
     ("released under the mit license", "mit", 2),
     ("all rights reserved", "proprietary", 1),
     ("spdx license identifier", "spdx", 2),
 )
 
+#: What a text says of itself only where it names no licence; many licences say it too.
+WEAK = "proprietary"
+
 # A-Z to a-z; all ASCII but letters and digits to the space; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_fuzzy", pa.int64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int64()), ("matched", pa.string())])))]
@@ -72,8 +80,9 @@ def _places(norm: bytes, phrase: bytes) -> list[int]:
 def fuzzy_spans(norm: bytes, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, str]]:
     """(label, first byte, end byte, edits, matched text) of each place of each notice, within its allowed edits.
 
-    Every occurrence is found: each allowed one holds an exact piece, and the region searched around a piece is as
-    long as the notice with all edits spent as insertions. A match starts and ends at words, that is, at spaces.
+    No place is missed: each allowed occurrence holds an exact piece, and the region searched around a piece is as long
+    as the notice with all edits spent as insertions. A match starts and ends at words, that is, at spaces. Occurrences
+    of one notice that overlap count as one. Where notices of different labels overlap, the best wins, see best_spans().
     """
     spans = []
     for raw, label, edits, seeds, pattern in _compiled(notices):
@@ -93,7 +102,23 @@ def fuzzy_spans(norm: bytes, notices: tuple = NOTICES) -> list[tuple[str, int, i
                     last -= 1
                 if last > first:
                     spans.append((label, first, last, sum(m.fuzzy_counts), norm[first:last].decode("utf-8", "replace")))
-    return sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
+    return best_spans(spans)
+
+
+def best_spans(spans: list[tuple[str, int, int, int, str]]) -> list[tuple[str, int, int, int, str]]:
+    """`spans` in order, without those that overlap one of another label with fewer edits, or as many in a longer text.
+
+    So notices that are closer to each other than their allowed edits are told apart; of real ties all stay.
+    """
+    spans = sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
+    rank = lambda s: (s[3], s[1] - s[2])
+    reach = max((s[2] - s[1] for s in spans), default=0)
+    starts, out = [s[1] for s in spans], []
+    for s in spans:
+        near = spans[bisect_left(starts, s[1] - reach) : bisect_left(starts, s[2])]
+        if not any(x[0] != s[0] and x[2] > s[1] and rank(x) < rank(s) for x in near):
+            out.append(s)
+    return out
 
 
 def scan(text: str | None, notices: tuple = NOTICES) -> tuple:
@@ -107,14 +132,16 @@ def scan(text: str | None, notices: tuple = NOTICES) -> tuple:
     starts = [norm.count(b" ", 0, at + 1) - 1 for at in places]
     best = max((1.0 - s[3] / max(1, s[2] - s[1]) for s in spans), default=0.0)
     score = 1.0 if base else round(min(1.0, max(0.0, best)), 6)
+    labels = base | {s[0] for s in spans}
+    labels -= {WEAK} if labels - {WEAK, "spdx"} else set()
     out = [{"label": a, "first_word": norm.count(b" ", 0, b) - 1, "end_word": norm.count(b" ", 0, c), "edits": d, "matched": e} for a, b, c, d, e in spans]
-    return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s[0] for s in spans})), score, len(spans), out
+    return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, len(spans), out
 
 
 def _scanned(notices: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(scan(x, notices) for x in batch.column(1).to_pylist()), strict=True)) or [[]] * len(FIELDS)
+            rows = list(zip(*(scan(x.as_py(), notices) for x in batch.column(1)), strict=True)) or [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, (_, t) in zip(rows, FIELDS, strict=True))], ["doc_id", *(n for n, _ in FIELDS)])
 
     return run
@@ -125,7 +152,8 @@ def notice_scan(docs: DataFrame, text: str = "text", notices: tuple = NOTICES) -
 
     Null text is empty: 0 words, no label, score 0. Repeated rows and repeated places count each time; an empty table
     gives no rows; other columns are left out. Long texts are searched whole; memory is a few times one batch of
-    texts. score is 1 for a base phrase, else one less the edits' share of the best fuzzy span's length.
+    texts. score is 1 for a base phrase, else one less the edits' share of the best fuzzy span's length. "all rights
+    reserved" gives a label only where no licence is named; its span is reported all the same.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scanned(notices), SCHEMA)
 
