@@ -21,8 +21,6 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: A host is rejected where its shrunk rate of failing documents is above this.
 MAX_HOST_RATE = 0.5
-#: The verdict needs a host of so many documents at least; smaller ones are kept.
-MIN_HOST_DOCS = 5
 
 _SPACE = " \t\n\x0b\x0c\r"
 MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -56,7 +54,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measure(x) for x in batch.column(2).to_pylist()]
+        rows = [measure(x.as_py()) for x in batch.column(2)]
         columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *columns], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
@@ -87,13 +85,13 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE, min_host_docs: int = MIN_HOST_DOCS) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per row of `docs`: measures, base_failed, host, host_docs, host_rate, host_rejected, kept.
 
     Null text counts as empty (0 words: it fails). A null host is no host: its documents are neither summed nor
     rejected by a verdict (host_rate null). Repeated rows count as often as they stand there; an empty table gives
     no rows; other columns of `docs` are left out, so that none can clash. kept is false where base_failed, else
-    the host's verdict. The texts are read once; what is summed and joined is a few numbers a document. The join
+    the host's verdict, for hosts of any size: the prior alone keeps a small one near the corpus' rate. The texts are read once; what is summed and joined is a few numbers a document. The join
     broadcasts the hosts only below the session's size limit; else the hot host is split by AQE.
     """
     rows = stored(measured(docs, host, text))
@@ -101,7 +99,7 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_ho
     hosts = stored(hosts)
     a, b = beta_prior(hosts)
     rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    verdicts = hosts.select("host", F.col("n").alias("host_docs"), F.round(rate, 6).alias("host_rate"), ((rate > max_host_rate) & (F.col("n") >= min_host_docs)).alias("host_rejected"))
+    verdicts = hosts.select("host", F.col("n").alias("host_docs"), F.round(rate, 6).alias("host_rate"), (rate > max_host_rate).alias("host_rejected"))
     return rows.join(verdicts, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -136,8 +134,8 @@ v as (select *, case when n - nn / n > 0 then (ff - n * mean * mean - (k - 1) *
 c as (select mean, least(greatest(case when var > 0 then mean * (1 - mean) / var - 1 else n / k end, 1.0), n / k) as weight from v),
 r as (select host, n::bigint as host_docs, (failed + mean * weight) / (h.n + weight) as rate from h, c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not coalesce(rate > 0.5 and host_docs >= 5, false) as kept, f.host, host_docs, round(rate, 6) as host_rate,
-  coalesce(rate > 0.5 and host_docs >= 5, false) as host_rejected
+  not base_failed and not coalesce(rate > 0.5, false) as kept, f.host, host_docs, round(rate, 6) as host_rate,
+  coalesce(rate > 0.5, false) as host_rejected
 from f left join r on f.host = r.host
 """
 QUERIES = {"op6_host_rules": op6_host_rules}
