@@ -177,13 +177,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """The third of the ids that the fit never sees; a null id is not of it."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `max_train` labelled rows outside the held-out third.
 
-    The sample of (doc_id, label) is bounded by the parameter, so it is broadcast; the driver gets numbers only.
+    The sample of (doc_id, label) is bounded by the parameter, so it is broadcast; the driver gets one row of numbers for
+    each of them at most: of texts that repeat a doc_id, the one of the lowest features counts.
     """
     sample = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
@@ -191,10 +193,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", max_tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(2).to_pylist())
+            x = matrix([t.as_py() for t in batch.column(2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    numbers = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    got = numbers.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
     return x, got["quality"].to_numpy().astype(np.float64)
 
@@ -209,7 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", max_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.round(model.score(matrix(batch.column(1).to_pylist())), 9)
+            s = np.round(model.score(matrix([t.as_py() for t in batch.column(1)])), 9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out())
@@ -217,12 +220,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", max_t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of `docs` whose text scores 0.5 or more, all their columns as they are."""
+    """The rows of `docs` whose text scores 0.5 or more, all their columns as they are.
+
+    Null text scores as the empty text; repeated rows are kept or go together; an empty table gives no rows; with labels
+    of one kind or none the model scores all texts alike.
+    """
     model, at = fit(*training_rows(docs, labels, text, max_train)), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(matrix(batch.column(at).to_pylist())) >= 0.5))
+            yield batch.filter(pa.array(model.score(matrix([t.as_py() for t in batch.column(at)])) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
