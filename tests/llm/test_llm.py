@@ -326,6 +326,34 @@ def test_notices():
         assert any(x["label"] == "mit" for x in n("w " + "".join(s) + " w")[8])
 
 
+def test_notices_closer_than_their_edits_are_told_apart():
+    labels = lambda t: notice_scan.scan(t)[5]
+    for kind in ("sa", "nc", "nd", "nc-sa", "nc-nd"):
+        assert labels(f"Text licensed under CC BY-{kind.upper()} by us") == f"cc-by-{kind}"
+        assert labels(f"Text licensd under CC-BY-{kind.upper()} by us") == f"cc-by-{kind}"
+    assert labels("licensed under CC BY 4.0") == "cc-by"
+    bsd = "Copyright. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted"
+    assert labels(bsd) == "bsd" and {x["label"] for x in notice_scan.scan(bsd)[8]} == {"bsd", "proprietary"}
+    assert labels("All rights reserved.") == "proprietary"
+
+
+def test_notices_of_a_real_table_against_brute_force(spark):
+    import regex
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(rows.select("doc_id", "text").collect())
+    phrases = {tuple(k.split()): v for k, v in notice_scan.BASE.items()}
+    for r in notice_scan.op7_notice_scan(spark, "/root/testdata/sf0.01").collect():
+        words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id] or ""))
+        places = [(k, label) for k in range(len(words)) for p, label in phrases.items() if tuple(words[k : k + len(p)]) == p]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        text = f" {' '.join(words)} ".encode()
+        found = {label for notice, label, edits in notice_scan.NOTICES if regex.search(b"(?<= )(?:" + notice.encode() + b"){e<=%d}(?= )" % edits, text)}
+        assert {x.label for x in r.spans} <= found and bool(r.spans) == bool(found)
+
+
 def test_best_region_against_all_regions():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -411,6 +439,32 @@ def test_pipeline_runs(spark):
 def test_shards_are_linked_by_every_shared_line(spark):
     texts = ["\n".join([f"a line of group {k % 4} that others have", f"another line of group {k % 4} as well", *(f"own line {j} of the text {k} alone" for j in range(40))]) for k in range(16)]
     rows = sharding._described(docs(spark, texts), "text").selectExpr("doc_id as unit", "bigint(1) as n", "hubs")
+    assert sharding.shared_hubs(rows).where("parts <> 1 or part <> 0").isEmpty()
     links = [(r.unit, r.hub) for r in sharding.shared_hubs(rows).collect()]
     assert len(links) == len(set(links)) == 32 and len({h for _, h in links}) == 8
     assert Counter(u for u, _ in links) == {k: 2 for k in range(16)}
+
+
+def test_propagation_cuts_fewer_links_than_the_start_and_splits_hot_hubs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "HUB_PART", 7)
+    texts = ["\n".join([f"line {j} of group {k % 24}" for j in range(4)] + ["a line that all have", f"own line of {k}"]) for k in range(480)]
+    rows = sharding._described(docs(spark, texts), "text").selectExpr("doc_id as unit", "bigint(1) as n", "hubs")
+    edges = sharding.shared_hubs(rows)
+    assert edges.where("parts > 1").select("part").distinct().count() > 1
+    start = rows.select("unit", F.pmod(F.xxhash64("unit"), F.lit(6)).cast("int").alias("label"))
+    labels = sharding.propagate(rows.select("unit", "n"), edges, 6)
+    sizes = [r["count"] for r in labels.groupBy("label").count().collect()]
+    (before, links), (after, _) = sharding.cut_edges(edges, start), sharding.cut_edges(edges, labels)
+    assert links == 480 * 5 and after < 0.6 * before and len(sizes) == 6 and max(sizes) <= 1.5 * 80
+
+
+def test_sharding_sizes_and_sums_against_sql(spark):
+    import duckdb
+    from zlib import crc32
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.op1_sharding(spark, sf).collect()}
+    want = duckdb.sql(f"select doc_id, strlen(coalesce(text, '')) + 16, coalesce(text, '') from '{sf}/documents.parquet'").fetchall()
+    assert got == {a: (b, crc32(t.encode())) for a, b, t in want}
