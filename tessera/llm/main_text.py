@@ -1,19 +1,21 @@
 """HTML extraction (operator 8): the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words, which score positive, and tags, which score negative by their kind; the kinds' weights
-come from labelled pages. One linear scan finds the contiguous region of the highest sum. Where that region lies in an
-article or main element, the whole element is taken, so that no short block at its ends is lost; menus, notices,
-adverts, forms and the like inside it are left out.
+A page is a sequence of words, which score positive, and tags, which score negative by their kind; one linear scan finds
+the contiguous region of the highest sum, which is made whole to the blocks at its ends. All weights come from labelled
+pages: what a kind of tag costs, and how much an element's tag and names (parts of class, id and role) speak for or
+against the article. Words under an element that speaks against it score nothing, and are left out of the region's text;
+words under one that speaks for it score more.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,11 @@ from .common import read
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-NOISE = frozenset("nav aside footer form menu dialog button select fieldset head label input audio video search datalist".split())
-#: Parts of class, id or role that mark what is not the article.
-NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget skip masthead topbar complementary contentinfo search hidden".split())
-_BODY_NAMES = frozenset("article post entry content story main body text page".split())
+#: Elements that say what they hold; of others only the names are features.
+TELLING = frozenset("nav aside footer form menu dialog button select fieldset head label input audio video search datalist article main header".split())
+#: Names in the labelled pages' other parts and in their articles.
+NOISE_NAMES = tuple("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget skip masthead topbar complementary contentinfo search header".split())
+BODY_NAMES = tuple("article post entry content story main body text page".split())
 _PARTS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(
@@ -41,120 +44,160 @@ _UNSEEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=])|aria-hidden\s*=\s*[\"']?true|di
 _CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-@cache
-def _named_noise(attrs: str) -> bool:
-    if _UNSEEN.search(attrs):
-        return True
+@lru_cache(maxsize=4096)
+def names(attrs: str) -> tuple[str, ...]:
+    """The parts of an element's class, id and role, in lower case; "!" where it is hidden."""
+    found = {"!"} if _UNSEEN.search(attrs) else set()
     for m in _ATTR.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            parts = {x.lower() for x in _PARTS.findall(_CAMEL.sub(" ", name))}
-            if parts & NOISE_NAMES and not (parts & _BODY_NAMES and not parts & {"comment", "comments", "sidebar", "related", "ad", "ads", "share", "footer", "nav"}):
-                return True
-            if "header" in parts and not parts & _BODY_NAMES:
-                return True
-    return False
-
-
-def _noise(tag: str, attrs: str, within: bool) -> bool:
-    """Whether an element is none of the article; within: it stands in an article or main element."""
-    if tag in NOISE:
-        return True
-    if tag == "header":
-        return not within
-    if tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag in ("article",) and bool({"comment", "comments"} & {x.lower() for x in _PARTS.findall(attrs)})
-    return bool(attrs) and _named_noise(attrs)
-
-
-#: Labelled pages: pieces of HTML, and whether each is the article's.
-LABELLED: tuple[tuple[tuple[str, bool], ...], ...] = (
-    (("<html><body><nav><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul></nav><div class=ad>Buy now and save</div>", False), ("<article><h1>Rain in the north</h1><p>It rained for three days and the <b>river</b> rose.<br>Roads were shut.</p><p>Schools stayed open.</p></article>", True), ("<footer>Copyright by the paper</footer></body></html>", False)),
-    (("<body><header><a>Logo</a><form><input><button>Go</button></form></header><div class=menu><a>One</a><a>Two</a><a>Three</a></div>", False), ("<main><h1>A recipe</h1><p>Take two eggs and stir them well.</p><ul><li>two eggs</li><li>a cup of milk</li></ul><p>Bake for an hour.</p></main>", True), ("<aside><h3>More</h3><ul><li><a>Other cakes</a></li><li><a>Bread</a></li></ul></aside><footer><p>All rights reserved</p></footer>", False)),
-    (("<body><div id=top><span>Sign in</span> <a>Help</a></div><div class='cookie notice'><p>We use cookies.</p><button>Accept</button></div>", False), ("<div class=content><h2>Notes on a long walk</h2><p>We left before dawn and walked along the coast until noon.</p><blockquote>The sea was still.</blockquote><p>In the evening it cleared.</p></div>", True), ("<div class=comments><h3>Comments</h3><div><b>Ann</b> <p>Nice.</p></div><div><b>Bo</b> <p>I was there too.</p></div></div><div class=footer><a>Terms</a><a>Privacy</a></div>", False)),
-    (("<body><table><tr><td><a>Start</a></td><td><a>Archive</a></td></tr></table>", False), ("<h1>Minutes</h1><p>The board met at nine and went through the accounts.</p><p>It closed at noon.</p><table><tr><td>Votes for</td><td>seven</td></tr></table>", True), ("<hr><div><a>Back</a> <a>Next</a></div><form><label>Mail</label><input><button>Subscribe</button></form>", False)),
-)
+        found |= {x.lower() for x in _PARTS.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or ""))}
+    return tuple(sorted(found))
+
+
+def features(tag: str, attrs: str, within: bool) -> list[str]:
+    """What an element says of what it holds; within: it stands in one that speaks for the article."""
+    out = [f"{tag}@in" if within and tag == "header" else tag] if tag in TELLING else []
+    return out + [f".{x}" for x in names(attrs)] if attrs else out
+
+
+def labelled_pages(count: int = 300) -> list[list[tuple[str, bool]]]:
+    """Labelled pages: pieces of HTML in order, and whether each is the article's. Made by a fixed rule, each page anew."""
+    pages, n = [], 0
+    frames = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "div", "section", "ul")
+    for k in range(count):
+        rng = random.Random(k)
+        some = lambda low, high: " ".join("word" for _ in range(rng.randint(low, high)))  # noqa: B023, E731
+        link = lambda: f"<a href='#'>{some(1, 3)}</a>"  # noqa: B023, E731
+
+        def other(inside: bool = False) -> str:
+            """A part that is not the article's; the names take turns."""
+            nonlocal n
+            n += 1
+            links = ["".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))), f"<span>{some(1, 6)}</span> {link()} {link()}", f"<b>{link()}</b> {link()}"]  # noqa: B023
+            if not inside and rng.random() < 0.25:  # nothing tells but what it holds  # noqa: B023
+                return f"<{rng.choice(('div', 'ul', 'table'))}>{rng.choice(links)}</div>"  # noqa: B023
+            tag = "div" if inside else rng.choice(frames)  # noqa: B023
+            name = NOISE_NAMES[n % len(NOISE_NAMES)]
+            attr = rng.choice([f" class='{name}'", f" id={name}", f' class="x-{name} wide"', f' role="{name}"', f' class="{rng.choice(BODY_NAMES)}-{name}"' if n % 9 == 0 else f" class={name}"]) if tag in ("div", "section", "ul") or n % 2 else ""  # noqa: B023
+            held = rng.choice([*links, f"<p>{some(2, 25)}</p>", f"<h3>{some(1, 3)}</h3><ul><li>{link()}</li><li>{link()}</li></ul>", f"<label>{some(1, 2)}</label><input><button>{some(1, 2)}</button>", f"<div><b>{some(1, 2)}</b><p>{some(3, 30)}</p></div>"])  # noqa: B023
+            return f"<{tag}{attr}>{held}</{tag}>"
+
+        def block() -> str:
+            """A part of the article."""
+            return rng.choice([f"<p>{some(8, 60)}</p>"] * 4 + [f"<p><b>{some(1, 9)}</b> {some(5, 40)} <a href='#'>{some(1, 4)}</a> {some(3, 20)}</p>", f"<p>{some(5, 20)}<br>{some(5, 20)}<p>{some(5, 20)}", f"<h2>{some(2, 6)}</h2>", f"<ul>{''.join(f'<li>{some(2, 15)}</li>' for _ in range(rng.randint(2, 5)))}</ul>", f"<blockquote>{some(8, 30)}</blockquote>", f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table>", f"<pre>{some(5, 20)}</pre>", f"<figure><img><figcaption>{some(3, 9)}</figcaption></figure>"])  # noqa: B023
+
+        opening, closing = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div class='{rng.choice(('', 'x-'))}{rng.choice(BODY_NAMES)}{rng.choice(('', ' wide'))}'>", "</div>"), (f"<div id=x-{rng.choice(BODY_NAMES)}>", "</div>"), (f"<section class='{rng.choice(BODY_NAMES)} wide'>", "</section>"), ("<div>", "</div>"), ("", "")])
+        head = rng.choice([f"<h1>{some(2, 10)}</h1>", f"<header><h1>{some(2, 10)}</h1></header>" if "article" in opening else f"<h1>{some(2, 10)}</h1>"])
+        page = [(other(), False) for _ in range(rng.randint(1, 4))] + [(f"{opening}{head}{''.join(block() for _ in range(rng.randint(1, 6)))}", True)]
+        if rng.random() < 0.4:
+            page += [(other(True), False), ("".join(block() for _ in range(rng.randint(1, 4))), True)]
+        pages.append([*page, (closing, True), *[(other(), False) for _ in range(rng.randint(1, 4))]])
+    return pages
+
+
+#: Odds below which an element is none of the article's, the cost of its tags, and the cost of any tag at least.
+AGAINST, NOISE_COST, LEAST = -1.0, 1.0, 0.02
+
+
+def kind(tag: str, within: bool) -> str:
+    """A tag's kind: where an element around it speaks for the article, its own."""
+    return f"{tag}@in" if within else tag
+
+
+class Weights:
+    """What the labelled pages teach: odds of features, costs of kinds of tags, the gain of a word."""
+
+    def __init__(self, pages: list[list[tuple[str, bool]]]) -> None:
+        speaks: tuple[Counter, Counter] = Counter(), Counter()
+        opened = [[(good, [((m["tag"] or m["tag2"] or "").lower(), m["attrs"] or m["attrs2"] or "") for m in _TOKEN.finditer(piece) if not (m["end"] or m["end2"])], len(_TOKEN.sub(" ", piece).split())) for piece, good in page] for page in pages]
+        for page in opened:
+            for good, tags, _ in page:
+                for tag, attrs in tags:
+                    speaks[good].update(features(tag, attrs, good))
+        odds = lambda side, x, most: max(-most, min(most, math.log((side[1][x] + 0.5) / (side[0][x] + 0.5))))
+        self.odds = {x: odds(speaks, x, 4.0) for x in speaks[0].keys() | speaks[1].keys()}
+        self.odds[".!"] = -12.0  # hidden, whatever its names
+        kinds: tuple[Counter, Counter] = Counter(), Counter()
+        words = 0
+        for page in opened:
+            first = next((tags[0] for good, tags, _ in page if good and tags), ("", ""))
+            within = self.speaks(*first, False) > 0
+            for good, tags, n in page:
+                if good or not tags or self.speaks(*tags[0], False) >= AGAINST:  # what an element tells, its tags need not
+                    kinds[good].update(kind(tag, good and within) for tag, _ in tags)
+                words += n if good else 0
+        self.cost = {x: LEAST + max(0.0, 0.5 - odds(kinds, x, 1.5)) / 2 for x in kinds[0].keys() | kinds[1].keys()}
+        # So that an article's words pay for its own tags twice.
+        self.word = max(0.3, 2 * sum(self.cost[x] * n for x, n in kinds[1].items()) / max(1, words))
+
+    def speaks(self, tag: str, attrs: str, within: bool) -> float:
+        """How much an element speaks for the article (above 0) or against it."""
+        return sum(self.odds.get(x, 0.0) for x in features(tag, attrs, within))
 
 
-def _kind(tag: str, noise: bool) -> str:
-    return f"{tag}!" if noise else tag
+@cache
+def weights() -> Weights:
+    return Weights(labelled_pages())
 
 
-@cache
-def weights() -> tuple[dict[str, float], float, float]:
-    """(weight by kind of tag, weight of a kind unseen, weight of a word), fitted to the labelled pages.
+def scored(page: str) -> tuple[list[float], list[tuple[str, str, bool, bool]]]:
+    """Of a page's words and tags in order: the scores, and (kind, text, a block starts here, none of the article's).
 
-    A tag costs the more, the oftener its kind stands outside the article; a word's gain is the articles' tag cost
-    for each of their words, or at least a tenth, so that what the articles hold pays for its own tags.
-    """
-    inside, outside, words = defaultdict(float), defaultdict(float), 0
-    for page in LABELLED:
-        for piece, good in page:
-            for kind, value in tokens(piece)[0]:
-                if kind == "word":
-                    words += value if good else 0
-                else:
-                    (inside if good else outside)[kind] += 1
-    kinds = inside.keys() | outside.keys()
-    weight = {k: -max(0.02, math.log((outside[k] + 0.5) / (inside[k] + 0.5)) + 1.5) for k in kinds}
-    for k in kinds:
-        if k.endswith("!"):
-            weight[k] = min(weight[k], -8.0)
-    cost = -sum(weight[k] * n for k, n in inside.items())
-    return weight, -1.0, max(0.1, cost / max(1, words))
-
-
-def tokens(page: str) -> tuple[list[tuple[str, int]], list[tuple]]:
-    """Of a page, its kinds of tags and numbers of words, and for each of them (text, block starts here, noise, owner).
-
-    owner is the number of the innermost article or main element, 0 outside.
+    Each open element knows what the elements around it say, so a token costs the same at any depth.
     """
-    kinds, notes = [], []
-    stack: list[tuple[str, bool, int]] = []
-    owners, last = 0, 0
+    w = weights()
+    scores: list[float] = []
+    notes: list[tuple[str, str, bool, bool]] = []
+    # tag, whether it or one around it is noise, best odds so far, blocks so far, index of the innermost block
+    stack: list[tuple[str, bool, float, int, int]] = []
+    where: dict[str, list[int]] = {}
+    last = 0
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            where[stack.pop()[0]].pop()
 
     def text(piece: str) -> None:
         if piece:
             clean = html.unescape(piece)
-            n = len(clean.split())
-            kinds.append(("word", n))
-            notes.append((clean, False, any(x[1] for x in stack), next((x[2] for x in reversed(stack) if x[2]), 0)))
+            n = max(len(clean.split()), len(clean.strip()) // 12)
+            noise, best = (stack[-1][1], stack[-1][2]) if stack else (False, 0.0)
+            scores.append(0.0 if noise else w.word * n * (1 + best))
+            notes.append(("word", clean, False, noise))
 
-    def tag_token(tag: str, noise: bool, block: bool) -> None:
-        kinds.append((_kind(tag, noise), 1))
-        notes.append(("", block, noise, next((x[2] for x in reversed(stack) if x[2]), 0)))
+    def mark(tag: str, noise: bool, block: bool, best: float = 0.0) -> None:
+        scores.append(-w.cost.get(kind(tag, best > 0), LEAST if best > 0 else 0.25) if best > 0 or not noise else -NOISE_COST)
+        notes.append((tag, "", block, noise))
 
     for m in _TOKEN.finditer(page):
         text(page[last : m.start()])
         last = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            tag_token((m["raw"] or "comment").lower(), True, False)
+            mark((m["raw"] or "comment").lower(), True, False)
             continue
+        block = tag in BLOCK
         if m["end"] or m["end2"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            noise = at is not None and stack[at][1]
-            tag_token(tag, noise, tag in BLOCK)
-            if at is not None and (tag in BLOCK or not any(x[0] in BLOCK for x in stack[at + 1 :])):
-                del stack[at:]
+            at = where[tag][-1] if where.get(tag) else None
+            mark(tag, at is not None and stack[at][1], block, stack[at][2] if at is not None else 0.0)
+            if at is not None and (block or stack[-1][3] == stack[at][3]):
+                close(at)
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        if tag in BLOCK and stack and stack[-1][0] not in BLOCK:  # an inline element left open ends with its paragraph
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), None)
-            if at is not None and stack[at][0] == "p":
-                del stack[at:]
-        within = any(x[2] for x in stack)
-        noise = _noise(tag, attrs, within)
-        tag_token(tag, noise, tag in BLOCK)
+            close(len(stack) - 1)
+        if block and stack and stack[-1][0] not in BLOCK:  # an inline element left open ends with its paragraph
+            at = stack[-1][4]
+            if at >= 0 and stack[at][0] == "p":
+                close(at)
+        noise, best, blocks, inner = stack[-1][1:] if stack else (False, 0.0, 0, -1)
+        says = w.speaks(tag, attrs, best > 0)
+        noise = noise or (says < AGAINST and tag not in ("html", "body"))
+        mark(tag, noise, block, best)
         if tag not in VOID and not attrs.endswith("/"):
-            owner = 0
-            if tag in ("article", "main") and not noise:
-                owners += 1
-                owner = owners
-            stack.append((tag, noise, owner))
+            where.setdefault(tag, []).append(len(stack))
+            stack.append((tag, noise, max(best, says), blocks + block, len(stack) if block else inner))
     text(page[last:])
-    return kinds, notes
+    return scores, notes
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -173,44 +216,30 @@ def main_text(page: str | None) -> str:
     """The article's blocks, white space made single, joined by empty lines; "" where there is none."""
     if not page:
         return ""
-    kinds, notes = tokens(page)
-    weight, other, word = weights()
-    scores = [(0.0 if note[2] else word * n) if kind == "word" else weight.get(kind, -8.0 if kind[-1] == "!" else other) for (kind, n), note in zip(kinds, notes, strict=True)]
+    scores, notes = scored(page)
     start, end = best_region(scores)
     if end <= start:
         return ""
-    held = defaultdict(float)
-    for k in range(start, end):
-        if kinds[k][0] == "word" and notes[k][3] and not notes[k][2]:
-            held[notes[k][3]] += kinds[k][1]
-    whole = sum(kinds[k][1] for k in range(start, end) if kinds[k][0] == "word" and not notes[k][2])
-    owners = {o for o, n in held.items()} if held and 2 * sum(held.values()) > whole else set()
-    if owners:
-        chosen = (k for k in range(len(kinds)) if notes[k][3] in owners)
-    else:
-        while start > 0 and kinds[start - 1][0] == "word" and not notes[start - 1][2]:
-            start -= 1
-        while end < len(kinds) and kinds[end][0] == "word" and not notes[end][2]:
-            end += 1
-        chosen = iter(range(start, end))
-    blocks, parts, last = [], [], None
-    for k in chosen:
-        text, block, noise, _ = notes[k]
-        if block or (last is not None and k != last + 1):
+    while start > 0 and not notes[start][2] and not notes[start - 1][2]:  # whole blocks at both ends
+        start -= 1
+    while end < len(notes) and not notes[end][2]:
+        end += 1
+    blocks, parts = [], []
+    for kind, text, block, noise in notes[start:end]:
+        if block:
             blocks.append("".join(parts))
             parts = []
-        if kinds[k][0] == "br":
+        if kind == "br":
             parts.append(" ")
         elif text and not noise:
             parts.append(text)
-        last = k
     blocks.append("".join(parts))
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(x) for x in batch.column(2).to_pylist()]
+        texts = [main_text(x.as_py()) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

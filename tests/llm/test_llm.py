@@ -371,6 +371,35 @@ def test_main_text():
     assert main_text.main_text(None) == "" and main_text.main_text("<nav><a>Home</a></nav>") == ""
 
 
+def test_main_text_without_telling_elements_and_on_deep_or_broken_pages():
+    paragraphs = [f"Paragraph {k} of a text that goes on for a good dozen of words or so." for k in range(4)]
+    links = "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div><table><tr><td><a>One</a> <a>Two</a> <a>Three</a></td></tr></table></body>"
+    assert main_text.main_text(page) == "\n\n".join(["Title", *paragraphs])
+    deep = "<div>" * 20_000 + "<article><p>Some words</p><b>and more" + "</div>" * 20_000
+    assert main_text.main_text(deep) == "Some words\n\nand more"
+    noisy = "<article><p>First part here.</p><div class=ad><ul>" + links + "</ul></div><p>End.</p></article>"
+    assert main_text.main_text(noisy) == "First part here.\n\nEnd."
+    assert main_text.main_text("<p") == "<p" or main_text.main_text("<p") == ""
+    assert main_text.main_text("<article><p style='display:none'>no</p><p>yes &lt;b&gt;</p>") == "yes <b>"
+
+
+def test_main_text_on_labelled_pages_that_the_weights_have_not_seen():
+    pages, wanted, missed, wrong = main_text.labelled_pages(700)[300:], 0, 0, 0
+    for page in pages:
+        text = main_text.main_text("<html><body>" + "".join(p.replace("word", "good" if good else "evil") for p, good in page))
+        of_page = sum(p.count("word") for p, good in page if good)
+        wanted, missed, wrong = wanted + of_page, missed + of_page - text.count("good"), wrong + text.count("evil")
+    assert missed < 0.1 * wanted and wrong < 0.01 * wanted
+
+
+def test_main_text_edges(spark):
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "", "y"), (3, "v", "<p>plain words in a page</p>", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in main_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (3, "plain words in a page", 21)]
+    assert main_text.extract(pages.limit(0)).count() == 0
+
+
 def test_gam_learns_an_interaction_and_scores_in_bins():
     rng = np.random.default_rng(4)
     x = rng.random((3000, len(quality_gam.NAMES)))
