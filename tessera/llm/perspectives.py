@@ -9,16 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
-#: A rendering is cut after so many turn numbers; longer dialogues get more chunks, in order.
+#: A rendering is cut at each so many turn numbers, and between those after so many turns; longer dialogues get more
+#: chunks, in order.
 CHUNK_TURNS = 512
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
+_END = "<|end|>\n"
+
+
+def _head(role: Column, speaker: Column) -> Column:
+    """What stands before a turn of `role` where `speaker` is the assistant; null: nobody is."""
+    return F.when(role == SYSTEM, F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+
+
 def _segment(x: Column, speaker: Column) -> Column:
-    header = F.when(x["role"] == SYSTEM, F.lit("<|system|>\n")).when(x["role"] == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), x["role"], F.lit("|>\n")))
-    return F.struct(header.alias("head"), F.concat(x["text"], F.lit("<|end|>\n")).alias("body"), (x["role"] == speaker).alias("mine"))
+    return F.struct(_head(x["role"], speaker).alias("head"), F.concat(x["text"], F.lit(_END)).alias("body"), (x["role"] == speaker).alias("mine"))
 
 
 def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
@@ -29,18 +37,41 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     mark). A participant is each distinct role but system, which is shown as it is. A dialogue without participants
     gives no row. Null text is empty, a null or empty role is "unknown", a null turn number comes first (chunk 0);
     ties and repeated rows are all kept, ordered by turn, role, text; "<|" in texts and roles becomes "< |", so that no
-    text can forge a mark. Rows with a null conv_id form one dialogue. Other columns are left out. One shuffle, by
-    conv_id; arrays are bounded by the chunk, not by the dialogue.
+    text can forge a mark. Rows with a null conv_id form one dialogue; an empty table gives no rows. Other columns are
+    left out.
+
+    Texts are shuffled once, by dialogue and chunk, so a long dialogue is dealt over many tasks, and no array holds more
+    than a chunk. A dialogue of one chunk has its participants there; for the longer ones participants and offsets are
+    joined from tables of names and numbers.
     """
     clean = lambda c, empty: F.replace(F.coalesce(F.col(c).cast("string"), F.lit(empty)), F.lit("<|"), F.lit("< |"))
     name = F.when(F.coalesce(F.col(role).cast("string"), F.lit("")) == "", F.lit(UNKNOWN)).otherwise(clean(role, ""))
-    rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), name.alias("role"), clean(text, "").alias("text"))
-    rows = rows.withColumn("chunk", F.greatest(F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(0)), F.lit(0)).cast("long")).repartition("conv_id")
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    chunks = chunks.withColumn("roles", F.array_distinct(F.transform("turns", lambda x: x["role"])))
-    everyone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles").over(Window.partitionBy("conv_id")))))
-    each = chunks.withColumn("roles", F.filter(everyone, lambda r: r != SYSTEM)).withColumn("speaker", F.explode("roles"))
-    parts = each.select("conv_id", "chunk", "speaker", F.transform("turns", lambda x: _segment(x, F.col("speaker"))).alias("parts"))
+    rows = turns.select(F.coalesce(F.col(conv).cast("long"), F.lit(0).cast("long")).alias("conv_id"), F.col(conv).isNull().alias("no_id"), F.col(turn).cast("long").alias("turn"), name.alias("role"), clean(text, "").alias("text"))
+    rows = rows.withColumn("part", F.greatest(F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(0)), F.lit(0)).cast("long"))
+    key = ["conv_id", "no_id"]
+    sizes = stored(rows.groupBy(*key, "part").agg(F.ceil(F.count(F.lit(1)) / chunk_turns).cast("long").alias("n")).groupBy(*key).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("chunks")).where("chunks > 1"))
+    # The dialogues of several chunks, each chunk's number and what stands in it by role: names and numbers only.
+    long_rows = rows.join(sizes, key, "left_semi")
+    order = Window.partitionBy(*key, "part").orderBy("turn", "role", "text")
+    cut = lambda df: df.withColumn("sub", F.floor((F.row_number().over(order) - 1) / chunk_turns))
+    chunks = cut(rows.repartition(*key, "part")).groupBy(*key, "part", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    held = cut(long_rows).groupBy(*key, "part", "sub", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    held = stored(held)
+    speakers = held.where(F.col("role") != SYSTEM).select(*key, F.col("role").alias("speaker")).distinct()
+    numbered = held.groupBy(*key, "part", "sub").agg(F.sum(F.col("n") * F.length(_head(F.col("role"), F.lit(None).cast("string"))) + F.col("chars") + F.col("n") * len(_END)).alias("length"))
+    running = Window.partitionBy(*key).orderBy("part", "sub")
+    numbered = numbered.withColumns({"chunk": (F.row_number().over(running) - 1).cast("long"), "before": F.sum("length").over(running) - F.col("length")})
+    # A speaker's own turns have another head: so many characters more or less each.
+    own = held.select(*key, "part", "sub", F.col("role").alias("speaker"), "n")
+    each = numbered.select(*key, "part", "sub", "chunk", "before").join(speakers, key).join(own, [*key, "part", "sub", "speaker"], "left")
+    turns_before = F.coalesce(F.sum("n").over(Window.partitionBy(*key, "speaker").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    differ = F.length(_head(F.col("speaker"), F.col("speaker"))) - F.length(_head(F.col("speaker"), F.lit(None).cast("string")))
+    places = stored(each.select(*key, "part", "sub", "chunk", "speaker", (F.col("before") + turns_before * differ).cast("long").alias("offset")))
+    by_chunk = places.groupBy(*key, "part", "sub").agg(F.collect_list(F.struct("speaker", "chunk", "offset")).alias("places"))
+    alone = F.transform(F.filter(F.array_distinct(F.transform("turns", lambda x: x["role"])), lambda r: r != SYSTEM), lambda r: F.struct(r.alias("speaker"), F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("offset")))
+    met = chunks.join(by_chunk, [*key, "part", "sub"], "left").withColumn("places", F.coalesce("places", alone))
+    spoken = met.select(*key, "turns", F.inline("places"))
+    parts = spoken.select(*key, "chunk", "offset", "speaker", F.transform("turns", lambda x: _segment(x, F.col("speaker"))).alias("parts"))
     # (end so far, spans so far): one pass over the chunk's turns
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 
@@ -49,17 +80,16 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         span = F.concat(begin.cast("string"), F.lit("-"), (end - 1).cast("string"))  # the line break after the end mark stays out
         return F.struct(end.alias("at"), F.when(p["mine"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    done = parts.select(
-        "conv_id",
+    return parts.select(
+        F.when(~F.col("no_id"), F.col("conv_id")).alias("conv_id"),
         "speaker",
         "chunk",
         F.size("parts").cast("long").alias("n_turns"),
         F.size(F.filter("parts", lambda p: p["mine"])).cast("long").alias("n_masked"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         F.array_join(F.aggregate("parts", start, add)["spans"], ",").alias("mask"),
+        "offset",
     )
-    earlier = Window.partitionBy("conv_id", "speaker").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return done.withColumn("offset", F.coalesce(F.sum(F.length("text").cast("long")).over(earlier), F.lit(0)).cast("long"))
 
 
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +97,12 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-with t as (
+with r as (
   select conv_id, turn, case when coalesce(role, '') = '' then 'unknown' else replace(role, '<|', '< |') end as role,
-         replace(coalesce(text, ''), '<|', '< |') as text, greatest(coalesce(floor(turn / 512.0), 0), 0)::bigint as chunk from conversations
-), s as (select distinct conv_id, role as speaker from t where role <> 'system'),
+         replace(coalesce(text, ''), '<|', '< |') as text, greatest(coalesce(floor(turn / 512.0), 0), 0)::bigint as part from conversations
+), u as (select *, (row_number() over (partition by conv_id, part order by turn nulls first, role, text) - 1) // 512 as sub from r),
+t as (select *, dense_rank() over (partition by conv_id order by part, sub) - 1 as chunk from u),
+s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 p as (
   select t.conv_id, speaker, chunk, turn, role, text, role = speaker as mine,
     case when role = 'system' then '<|system|>' || chr(10) when role = speaker then '<|assistant|>' || chr(10) else '<|user name=' || role || '|>' || chr(10) end as head,

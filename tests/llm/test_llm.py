@@ -168,6 +168,25 @@ def test_perspectives(spark):
     assert "".join(c.text for c in chunks) == ann.text and chunks[1].offset == len(chunks[0].text)
 
 
+def test_perspectives_of_long_dialogues_ties_and_empty_tables(spark, tmp_path):
+    """Chunks by turn numbers and by turns, against the SQL on rows that the tables don't hold."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rows = [(7, k, str(rng.choice(["ann", "bo", "cy"])), f"t{k} <| x") for k in range(1400)]  # three chunks
+    rows += [(8, 5, f"p{k % 2}", f"tie {k}") for k in range(1100)] + [(8, 5, "p1", "tie 1")] * 3 + [(8, None, None, None), (8, 2000, "late", "")]
+    rows += [(9, 0, "system", "only"), (None, 1, "a", "x"), (None, 1, "a", "x"), (10, 0, "a", "same"), (10, 0, "a", "same")]
+    turns = spark.createDataFrame([(*r, "c", 1, "p", 2) for r in rows], "conv_id long, turn long, role string, text string, chunk string, part int, speaker string, n int")
+    out = perspectives.perspectives(turns)
+    con = duckdb.connect()
+    frame = turns.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    want = {tuple(r) for r in con.sql(f"select conv_id, speaker, chunk, n_turns, n_masked, text, mask, \"offset\" from ({perspectives.SQL})").fetchall()}
+    got = {tuple(r) for r in out.select("conv_id", "speaker", "chunk", "n_turns", "n_masked", "text", "mask", "offset").collect()}
+    assert got == want and max(r[3] for r in got) <= 512 and {r[2] for r in got if r[0] == 8} == {0, 1, 2, 3}
+    assert perspectives.perspectives(turns.limit(0)).count() == 0
+
+
 def _links(texts):
     s = [near_dedup.shingles(near_dedup.words(t)) for t in texts]
     df = np.zeros((2, 1 << near_dedup.DF_BITS), np.int64)
