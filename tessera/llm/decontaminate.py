@@ -24,7 +24,8 @@ from .shingles import WIDTH, shingle_hashes, word_hashes
 THRESHOLD = 0.8
 #: Five blocks of 13 bits (the last of 12); fingerprints within 19 bits differ in 3 bits at most in one of them.
 BLOCKS, BLOCK_BITS, RADIUS = 5, 13, 19
-#: Shingle rows of the benchmark up to which it is broadcast; beyond, the documents' shingles are shuffled to it.
+#: Shingle rows of the benchmark, and documents with a window, up to which they are broadcast (some 30 bytes each);
+#: beyond, the documents' shingles or texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 #: Weights are whole thousandths, so that sums do not depend on their order.
 SCALE = 1000
@@ -74,8 +75,8 @@ def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, no_id, whole, w): a null doc_id is told by no_id, so that plain joins and groups hold it too."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("whole"), word_hashes(F.col(text)).alias("w"))
+    """(doc_id, no_id, whole, text): a null doc_id is told by no_id, so that plain joins and groups hold it too."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("whole"), F.col(text).alias("text"))
 
 
 def windows_of(hits: DataFrame, threshold: float) -> DataFrame:
@@ -120,11 +121,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
     item_rows = stored(items.groupBy("item_id", "n_words", "h").agg(F.count(F.lit(1)).alias("item_tf")).join(weight, "h"))
     heavy = item_rows.groupBy("item_id", "n_words").agg(F.sum(F.col("item_tf") * F.col("weight")).alias("item_weight"))
     seeds = stored(item_rows.join(heavy, ["item_id", "n_words"]).select("h", "item_id", F.col("n_words").alias("item_words"), "weight", "item_weight"))
-    shingled = _described(docs, text).select(*_DOC, shingle_hashes(F.col("w")).alias("hs"))
+    shingled = _described(docs, text).select(*_DOC, word_hashes(F.col("text")).alias("w")).select(*_DOC, shingle_hashes(F.col("w")).alias("hs"))
     hits = shingled.select(*_DOC, F.posexplode_outer("hs").alias("pos", "h")).where("h is not null").join(sent(seeds), "h")
     hits = hits.repartition(*_DOC).distinct()  # the one shuffle up to the windows; repeated documents count once
     windows = stored(windows_of(hits, threshold).groupBy(*_DOC).agg(F.collect_set(F.struct("start", "n_words")).alias("windows")))
-    chosen = _described(docs, text).join(windows, _DOC).select(*_DOC, "windows", "w").select(*_DOC, "windows", shingle_hashes(F.col("w")).alias("hs")).dropDuplicates(_DOC)
+    ids = windows.select(*_DOC)  # names only, so that where they are few no other text is moved
+    chosen = _described(docs, text).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, _DOC, "left_semi").dropDuplicates(_DOC).join(windows, _DOC)
+    chosen = chosen.select(*_DOC, "windows", word_hashes(F.col("text")).alias("w")).select(*_DOC, "windows", shingle_hashes(F.col("w")).alias("hs"))
     each = chosen.select(*_DOC, "hs", F.inline_outer("windows")).select(*_WINDOW, F.explode_outer(F.slice("hs", F.col("start") + 1, F.greatest(F.col("n_words") - (WIDTH - 1), F.lit(0)))).alias("h")).where("h is not null")
     counted = each.groupBy(*_WINDOW, "h").agg(F.count(F.lit(1)).alias("tf")).join(sent(weight), "h", "left")
     counted = stored(counted.select(*_WINDOW, "h", "tf", F.col("weight").isNotNull().alias("known"), F.coalesce("weight", F.lit(rare).cast("long")).alias("unit")))
