@@ -34,22 +34,21 @@ def _long(line: Column, long_words: int) -> Column:
 
 
 def keyed_lines(docs: DataFrame, site: str, text: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """(who, whole, site, pos, h1, h2, long, chars) of each line with something in it; h1 and h2 make a key of 96 bits.
+    """(no_id, id, whole, site, pos, h1, h2, long, chars) of each line with something in it; h1 and h2 make a key of 96 bits.
 
-    who is the document in the order of doc_ids: of equal doc_ids all rows are one, without a doc_id equal texts are.
+    no_id and id tell the document: of equal doc_ids all rows are one, without a doc_id equal texts are.
     """
     no_id = F.col("doc_id").isNull()
-    who = F.struct(no_id.alias("no_id"), F.when(no_id, F.xxhash64(text)).otherwise(F.col("doc_id").cast("long")).alias("id"))
-    rows = docs.select(who.alias("who"), F.xxhash64(text).alias("whole"), F.col(site).cast("string").alias("site"), F.posexplode(_lines(text)).alias("pos", "line"))
-    return rows.where("line <> ''").select("who", "whole", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _long(F.col("line"), long_words).alias("long"), F.length("line").cast("long").alias("chars"))
+    rows = docs.select(no_id.alias("no_id"), F.when(no_id, F.xxhash64(text)).otherwise(F.col("doc_id").cast("long")).alias("id"), F.xxhash64(text).alias("whole"), F.col(site).cast("string").alias("site"), F.posexplode(_lines(text)).alias("pos", "line"))
+    return rows.where("line <> ''").select("no_id", "id", "whole", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _long(F.col("line"), long_words).alias("long"), F.length("line").cast("long").alias("chars"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int = LONG_SITES) -> DataFrame:
-    """(h1, h2, first, wide) of the lines on enough distinct sites; wide: on `min_sites`, however long. Null is no site."""
+    """(h1, h2, first_no_id, first_id, wide) of the lines on enough distinct sites; wide: on `min_sites`, however long. Null is no site."""
     error = SIGMAS * 1.04 / 2 ** (LG_K / 2)
     need = F.when(F.col("long"), F.least(F.lit(min_sites), F.lit(long_sites))).otherwise(F.lit(min_sites))
-    seen = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min("who").alias("first"), F.first("long").alias("long"))
-    seen = stored(seen.where(F.col("n") >= need).select("h1", "h2", "first", "long"))
+    seen = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min(F.when(~F.col("no_id"), F.col("id"))).alias("named"), F.min(F.when(F.col("no_id"), F.col("id"))).alias("nameless"), F.bool_or("long").alias("long"))
+    seen = stored(seen.where(F.col("n") >= need).select("h1", "h2", F.col("named").isNull().alias("first_no_id"), F.coalesce("named", "nameless").alias("first_id"), "long"))
     on_sites = lines.where("site is not null").select("h1", "h2", "site")
     spread = on_sites.join(seen.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).join(seen, ["h1", "h2"])
@@ -58,7 +57,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int =
     pairs = on_sites.join(near, ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
     found = spread.join(exact, ["h1", "h2"], "left").withColumn("sites", F.coalesce("exact", "sites"))
-    return stored(found.where(F.col("sites") >= need).select("h1", "h2", "first", (F.col("sites") >= min_sites).alias("wide")))
+    return stored(found.where(F.col("sites") >= need).select("h1", "h2", "first_no_id", "first_id", (F.col("sites") >= min_sites).alias("wide")))
 
 
 def line_spread(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, long_sites: int = LONG_SITES) -> DataFrame:
@@ -73,9 +72,9 @@ def line_spread(docs: DataFrame, site: str = "source", text: str = "text", min_s
     """
     lines = keyed_lines(docs, site, text, long_words)
     found = boilerplate(lines, min_sites, long_sites)
-    gone = lines.join(found, ["h1", "h2"]).where(F.col("who") != F.col("first")).select("who", "whole", "pos", "wide", "chars").distinct()
-    gone = gone.groupBy("who", "whole").agg(F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("wide"), F.collect_list(F.when(~F.col("wide"), F.col("pos"))).alias("long"), F.sum(F.when(~F.col("wide"), F.col("chars"))).alias("chars"))
-    gone = stored(gone).select(F.col("who.no_id").alias("__no_id"), F.col("who.id").alias("__id"), F.col("whole").alias("__whole"), F.struct("wide", "long", "chars").alias("__gone"))
+    gone = lines.join(found, ["h1", "h2"]).where("no_id <> first_no_id or id <> first_id").select("no_id", "id", "whole", "pos", "wide", "chars").distinct()
+    gone = gone.groupBy("no_id", "id", "whole").agg(F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("wide"), F.collect_list(F.when(~F.col("wide"), F.col("pos"))).alias("long"), F.sum(F.when(~F.col("wide"), F.col("chars"))).alias("chars"))
+    gone = stored(gone).select(F.col("no_id").alias("__no_id"), F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.struct("wide", "long", "chars").alias("__gone"))
     no_id = F.col("doc_id").isNull()
     same = (no_id == F.col("__no_id")) & (F.when(no_id, F.xxhash64(text)).otherwise(F.col("doc_id").cast("long")) == F.col("__id")) & (F.xxhash64(text) == F.col("__whole"))
     joined = docs.join(gone, same, "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
