@@ -13,9 +13,19 @@ from pyspark.sql.types import ArrayType, StringType
 # Digits of the Arabic script, marks that matching ignores, letters that are folded.
 ARABIC_DIGITS, ASCII_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 LETTERS_FROM, LETTERS_TO = "أإآٱيىئكةۀؤ", "اااایییکہہو"
-NEGATIONS = ("no", "not", "never", "without", "denied", "denies", "rejects", "rejected", "نہیں", "نہ", "بغیر", "تردید", "مسترد")
-CONTRADICTIONS = (("alive", "dead"), ("arrested", "released"), ("increase", "decrease"), ("win", "lose"), ("open", "closed"), ("approved", "rejected"))
-TITLES_STOP = ("The", "A", "An", "This", "That", "In", "On", "At")
+NEGATIONS = ("no", "not", "never", "denied", "denies", "reject", "rejected", "without", "نہیں", "نہ", "انکار", "مسترد", "بغیر")
+# Words of which one denies another of its group.
+CONTRADICTIONS = (
+    ("approved", "rejected", "منظور", "مسترد"),
+    ("granted", "denied", "منظور", "انکار"),
+    ("won", "lost", "جیت", "ہار", "فتح", "شکست"),
+    ("increased", "decreased", "اضافہ", "کمی"),
+    ("live", "dead", "alive", "killed", "زندہ", "ہلاک", "جاں", "بحق"),
+    ("open", "closed", "کھلا", "بند"),
+)
+# Capitalised words that are no names, Urdu titles before names.
+NO_NAMES = ("The", "A", "An", "After", "Before", "During", "Today", "Tonight", "Pakistan")
+URDU_TITLES = ("وزیر اعظم", "وزیر اعلیٰ", "چیف جسٹس", "جسٹس", "سینیٹر", "ڈاکٹر", "جنرل", "چیئرمین")
 
 
 def match_normalised(text: Column) -> Column:
@@ -46,19 +56,21 @@ def digit_folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct words, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(digit_folded(exact_key(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(digit_folded(exact_key(text)), F.lit(r"[\p{L}\p{N}_؀-ۿ]+"), F.lit(0))))
 
 
 def numbers(text: Column) -> Column:
-    """Distinct numbers of the key, sorted; separators are gone there, so 3.5 counts as 3 and 5."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(digit_folded(exact_key(text)), F.lit("[0-9]+"), F.lit(0))))
+    """Distinct numbers of the key, sorted: words of digits only. Separators are gone there, so 3.5 counts as 3 and 5."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(digit_folded(exact_key(text)), F.lit(r"(?<![\p{L}\p{N}_])[0-9]+(?![\p{L}\p{N}_])"), F.lit(0))))
 
 
 def proper_names(text: Column) -> Column:
-    """Runs of up to four capitalised Latin words, without common openers, lower case, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"[A-Z][A-Za-z]+(?:[ ][A-Z][A-Za-z]+){0,3}"), F.lit(0))
-    kept = F.filter(found, lambda x: ~x.isin(*TITLES_STOP))
-    return F.array_sort(F.array_distinct(F.transform(kept, F.lower)))
+    """Runs of up to four capitalised or upper-case Latin words, and what follows an Urdu title, normalised and sorted."""
+    word = r"(?:[A-Z][a-z]+|[A-Z]{2,})"
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?:\s+{word}){{0,3}}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    kept = F.filter(found, lambda x: ~x.isin(*NO_NAMES))
+    titled = F.regexp_extract_all(text, F.lit(rf"(?:{'|'.join(URDU_TITLES)})\s+([؀-ۿ]+(?:\s+[؀-ۿ]+){{0,2}})"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(kept, titled), match_normalised)))
 
 
 def negations(words: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Order-dependent operators: story clustering, the additive fact ledger, reconstruction, frame merging, translation checks.
+"""Order-dependent operators: story clustering, the additive fact ledger, reconstruction, frame merging.
 
 Each is a fold over one key's rows in order. The fold runs per key in applyInPandas; keys (calendar days, conversations,
 frames) are as many as the data is long, and one key's rows are what the fold must see together by its definition.
@@ -6,8 +6,6 @@ frames) are as many as the data is long, and one key's rows are what the fold mu
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,19 +26,29 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("negated", F.size(T.negations(F.col("tokens"))) > 0)
 
 
+def same_language(a: Column, b: Column) -> Column:
+    return (a == b) | (a == "mixed") | (b == "mixed")
+
+
 def pair_decision(pairs: DataFrame) -> DataFrame:
-    """`pairs` with sim, overlap, guards and decision (merge, review or create) of columns suffixed _a and _b.
+    """`pairs` with sim, overlap, guarded and decision (merge, review or create) of columns suffixed _a and _b.
 
-    Needs vector, tokens, numbers, names, negated, lang and source on both sides.
+    Needs vector, tokens, numbers, names, negated, lang, source and minutes on both sides, of one category.
     """
     both = lambda name: (F.col(f"{name}_a"), F.col(f"{name}_b"))
     guards = T.names_compatible(*both("names")) & (F.col("numbers_a") == F.col("numbers_b")) & (F.col("negated_a") == F.col("negated_b")) & ~T.contradicts(*both("tokens"))
-    threshold = F.when(F.col("lang_a") != F.col("lang_b"), CROSS_LANGUAGE).when(F.col("source_a") != F.col("source_b"), CROSS_CHANNEL).otherwise(SAME_DAY)
-    out = pairs.withColumns({"sim": F.round(cosine(*both("vector")), 6), "overlap": F.round(T.token_jaccard(*both("tokens")), 6), "guarded": guards})
+    window = (F.col("source_a") != F.col("source_b")) & (F.abs(F.col("minutes_a") - F.col("minutes_b")) <= WINDOW_MINUTES)
+    threshold = F.when(~same_language(*both("lang")), CROSS_LANGUAGE).when(window, CROSS_CHANNEL).otherwise(SAME_DAY)
+    out = pairs.withColumns({"sim": cosine(*both("vector")), "overlap": T.token_jaccard(*both("tokens")), "guarded": guards})
     merged = (F.col("sim") >= threshold) & ((F.col("overlap") >= OVERLAP) | (F.col("sim") >= STRONG)) & F.col("guarded")
     return out.withColumn("decision", F.when(merged, "merge").when(F.col("sim") >= REVIEW, "review").otherwise("create"))
 
 
+def contradict(a: set[str], b: set[str]) -> bool:
+    """As T.contradicts, of token sets."""
+    return any(x and y and x != y for x, y in ((a & set(g), b & set(g)) for g in T.CONTRADICTIONS))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v)
     return v / n if n else v
@@ -71,10 +79,11 @@ def cluster_stories(rows: DataFrame, key: str = "day") -> DataFrame:
                         best, top = s, sim
                 if best is not None:
                     window = r.source not in best["sources"] and abs(r.minutes - best["minutes"]) <= WINDOW_MINUTES
-                    need = CROSS_LANGUAGE if r.lang != best["lang"] else CROSS_CHANNEL if window else SAME_DAY
+                    alike = r.lang == best["lang"] or "mixed" in (r.lang, best["lang"])
+                    need = CROSS_LANGUAGE if not alike else CROSS_CHANNEL if window else SAME_DAY
                     union = tokens | best["tokens"]
                     lexical = len(tokens & best["tokens"]) / len(union) if union else 1.0
-                    guarded = list(r.numbers) == best["numbers"] and list(r.names) == best["names"] and bool(r.negated) == best["negated"]
+                    guarded = list(r.numbers) == best["numbers"] and list(r.names) == best["names"] and bool(r.negated) == best["negated"] and not contradict(tokens, best["tokens"])
                     if top >= need and (lexical >= OVERLAP or top >= STRONG) and guarded:
                         story, action = best, "merged"
                     elif top >= REVIEW:
@@ -101,7 +110,7 @@ def cluster_stories(rows: DataFrame, key: str = "day") -> DataFrame:
 def fold_facts(rows: DataFrame, key: str = "day") -> DataFrame:
     """(key, id, decision, fact_order): duplicate, review or append of each candidate fact, in order of id.
 
-    The ledger is additive: an appended fact never changes. Columns: key, id, hash, tokens, numbers, vector.
+    The ledger is additive: an appended fact never changes. Columns: key, id, hash, tokens, numbers, names, negated, vector.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,10 +122,10 @@ def fold_facts(rows: DataFrame, key: str = "day") -> DataFrame:
             elif facts:
                 scored = [(round(float(f[0] @ vector), 6), len(tokens & f[1]) / max(1, len(tokens | f[1]))) for f in facts]
                 k = max(range(len(facts)), key=lambda j: (scored[j], -j))
-                (sim, lexical), same = scored[k], list(r.numbers) == facts[k][2]
+                (sim, lexical), same = scored[k], (list(r.numbers), list(r.names), bool(r.negated)) == facts[k][2:] and not contradict(tokens, facts[k][1])
                 decision = "duplicate" if sim >= FACT_DUPLICATE and lexical >= FACT_OVERLAP and same else "review" if sim >= FACT_REVIEW else "append"
             if decision == "append":
-                facts.append((vector, tokens, list(r.numbers)))
+                facts.append((vector, tokens, list(r.numbers), list(r.names), bool(r.negated)))
                 hashes.add(r.hash)
             out.append((getattr(r, key), r.id, decision, len(facts) if decision == "append" else None))
         return pd.DataFrame(out, columns=[key, "id", "decision", "fact_order"]).astype({"fact_order": "Int64"})
@@ -155,49 +164,47 @@ def reconstruct(rows: DataFrame, key: str = "conv_id", order: str = "turn", text
 
 
 def merge_frame_lines(lines: DataFrame) -> DataFrame:
-    """OCR lines of two engines merged by frame: boxes that overlap little are added, alike texts keep the surer reading,
-    different scripts are joined. Columns: frame, engine, text, confidence, script, x0, y0, x1, y1."""
+    """OCR lines of two engines merged by frame: boxes that overlap little are added, of alike texts the surer reading
+    stays with the other as its alternative, different scripts are joined, else the surer line stays.
+
+    Columns: frame, engine, text, confidence, script, x0, y0, x1, y1. Likeness is 1 - edit distance / longer length.
+    """
 
     def over(a, b) -> float:
         w, h = max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)), max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
         union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h
         return w * h / union if union > 0 else 0.0
 
-    def alike(a: str, b: str, least: float) -> bool:
-        """Whether the ratio of the whole texts is `least` or more; its two upper bounds are asked first."""
-        import difflib
-
-        m = difflib.SequenceMatcher(None, a.casefold(), b.casefold(), autojunk=False)
-        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+    def likeness(a: str, b: str) -> float:
+        a, b = " ".join(a.casefold().split()), " ".join(b.casefold().split())
+        if a == b:
+            return 1.0
+        y, at = np.frombuffer(b.encode("utf-32-le"), np.uint32), np.arange(len(b) + 1)
+        row = at
+        for k, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32)):
+            step = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+            row = np.minimum.accumulate(np.concatenate([[k + 1], step]) - at) + at
+        return 1 - float(row[-1]) / max(len(a), len(b))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["engine", "y0", "x0", "text"])
+        rows = frame.sort_values(["engine", "y0", "x0", "text"]).assign(alternatives="")
         merged = [r for r in rows.itertuples(index=False) if r.engine == "primary"]
         for r in (r for r in rows.itertuples(index=False) if r.engine != "primary"):
             k = max(range(len(merged)), key=lambda j: over(merged[j], r), default=None)
             if k is None or over(merged[k], r) < 0.35:
                 merged.append(r)
-            elif merged[k].script == r.script or alike(merged[k].text, r.text, 0.85):
-                merged[k] = max(merged[k], r, key=lambda x: x.confidence)
-            else:
-                merged[k] = merged[k]._replace(text=f"{merged[k].text} | {r.text}", script="mixed", confidence=min(merged[k].confidence, r.confidence))
-        out = [r for k, r in enumerate(merged) if not any(over(r, s) > 0.75 and alike(r.text, s.text, math.nextafter(0.92, 1)) for s in merged[:k])]
-        out.sort(key=lambda r: ((r.y0 + r.y1) / 2, r.x0))
-        return pd.DataFrame([(r.frame, k, r.text, r.confidence, r.script) for k, r in enumerate(out)], columns=["frame", "pos", "text", "confidence", "script"])
-
-    return lines.groupBy("frame").applyInPandas(fold, f"frame {dict(lines.dtypes)['frame']}, pos long, text string, confidence double, script string")
-
-
-def translation_checks(source: Column, target: Column, source_lang: Column, target_lang: Column) -> Column:
-    """Map of check to outcome; accepted where every check but the last two holds and seven of eight do."""
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(T.digit_folded(c), F.lit("[0-9]+"), F.lit(0)))
-    return F.create_map(
-        F.lit("not_empty"), F.length(F.trim(target)) > 0,
-        F.lit("directions_differ"), source_lang != target_lang,
-        F.lit("not_copied"), source != target,
-        F.lit("length_ratio"), (F.length(target) / F.greatest(F.length(source), F.lit(1))).between(0.22, 4.5),
-        F.lit("numbers_kept"), F.size(F.array_except(numbers(source), numbers(target))) == 0,
-        F.lit("no_replacement_characters"), F.instr(target, "�") == 0,
-        F.lit("ends_as_source"), F.regexp_like(source, F.lit("[.!?۔؟]$")) == F.regexp_like(target, F.lit("[.!?۔؟]$")),
-        F.lit("no_markup"), F.instr(target, "<") == 0,
-    )
+            elif likeness(merged[k].text, r.text) >= 0.85:
+                winner, loser = (r, merged[k]) if r.confidence > merged[k].confidence else (merged[k], r)
+                merged[k] = winner._replace(alternatives="\x1f".join(x for x in (winner.alternatives, loser.text) if x))
+            elif {merged[k].script, r.script} == {"ur", "en"}:
+                merged[k] = merged[k]._replace(text=f"{merged[k].text} | {r.text}", script="mixed", confidence=max(merged[k].confidence, r.confidence))
+            elif r.confidence > merged[k].confidence:
+                merged[k] = r
+        merged.sort(key=lambda r: ((r.y0 + r.y1) / 2, r.x0))
+        out = []
+        for r in merged:
+            if not any(over(r, s) > 0.75 and likeness(r.text, s.text) > 0.92 for s in out):
+                out.append(r)
+        return pd.DataFrame([(r.frame, k, r.text, r.confidence, r.script, [x for x in r.alternatives.split("\x1f") if x]) for k, r in enumerate(out)], columns=["frame", "pos", "text", "confidence", "script", "alternatives"])
+
+    return lines.groupBy("frame").applyInPandas(fold, f"frame {dict(lines.dtypes)['frame']}, pos long, text string, confidence double, script string, alternatives array<string>")

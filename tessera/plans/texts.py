@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators.keywords import classify, keyword_hits
+from tessera.operators.keywords import IN_PLAN, classify, keyword_hits
 from tessera.session import table
 
-#: The taxonomy of these queries: category, term, whether it needs context, context terms, excluded terms.
+#: The taxonomy of these queries: category, term, whether it needs context, context terms, excluded terms, priority.
 TAXONOMY = (
-    ("motion", "the and", False, "", ""),
-    ("motion", "thtion", True, "the,of", "erea"),
-    ("license", "rights reserved", False, "", ""),
-    ("license", "license", True, "licensed,version", ""),
-    ("german", "und", True, "der,die,das", ""),
-    ("german", "nicht aulich", False, "", ""),
-    ("french", "le ouè", False, "", ""),
-    ("french", "de", True, "le,la", "und"),
+    ("motion", "the and", False, "", "", "normal"),
+    ("motion", "thtion", True, "the,of", "erea", "high"),
+    ("license", "rights reserved", False, "all rights", "", "critical"),
+    ("license", "license", True, "licensed,version", "", "normal"),
+    ("german", "und", True, "der,die,das", "", "normal"),
+    ("german", "nicht aulich", False, "", "nicht", "high"),
+    ("french", "le ouè", False, "", "", "normal"),
+    ("french", "de", True, "le,la", "und", "normal"),
 )
+#: Terms that are context for any ambiguous term of their category.
+CATEGORY_TERMS = (("license", "software"), ("german", "für sch"), ("french", "avec"))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    rows = [(c, t, r, x.split(",") if x else [], e.split(",") if e else []) for c, t, r, x, e in TAXONOMY]
-    return spark.createDataFrame(rows, "category string, term string, requires_context boolean, context_terms array<string>, excluded_terms array<string>")
+    rows = [(c, t, r, x.split(",") if x else [], e.split(",") if e else [], p) for c, t, r, x, e, p in TAXONOMY]
+    return spark.createDataFrame(rows, "category string, term string, requires_context boolean, context_terms array<string>, excluded_terms array<string>, priority string")
+
+
+def category_terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CATEGORY_TERMS, "category string, gram string")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def number_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proper_name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(T.proper_names(F.col("text")), "|").alias("names"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.proper_names(F.col("text")), "|").alias("names"))
 
 
 def script_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +107,14 @@ def keyword_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(_docs(spark, sf_dir), taxonomy(spark)).select("doc_id", "category", "accepted", "score")
+    out = classify(_docs(spark, sf_dir), taxonomy(spark), category_terms=category_terms(spark))
+    return out.select("doc_id", "category", "accepted", "score", "reason", F.array_join("terms", "|").alias("terms"), F.size("context").cast("long").alias("n_context"), F.size("excluded").cast("long").alias("n_excluded"))
+
+
+def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit's span of characters in the normalised text."""
+    hits = keyword_hits(_docs(spark, sf_dir), taxonomy(spark), offsets=True)
+    return hits.select("doc_id", "category", "term", F.col("start").cast("long").alias("span_start"), (F.col("start") + F.length("term")).cast("long").alias("span_end"))
 
 
 def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,11 +132,18 @@ def classification_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item word for word: candidates by the item's first three words, then containment."""
+    """Documents with a benchmark item word for word: candidates by the item's first three words, then containment.
+
+    Only places of an item's first word are looked at; texts are joined back to the candidates by doc_id.
+    """
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("key"))
-    words = _docs(spark, sf_dir).select("doc_id", "text", F.split(F.translate("text", "\n", " "), " ").alias("w"))
-    grams = words.select("doc_id", "text", F.explode_outer(F.array_distinct(F.transform("w", lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, 3), " ")))).alias("key"))
-    return grams.join(items, "key").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id").distinct()
+    firsts = [r[0] for r in items.select(F.substring_index("key", " ", 1)).distinct().limit(IN_PLAN + 1).collect()]
+    wanted = lambda x: x.isin(*firsts) if 0 < len(firsts) <= IN_PLAN else F.lit(True)
+    docs = _docs(spark, sf_dir)
+    words = docs.select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
+    keys = F.filter(F.transform("w", lambda x, i: F.when(wanted(x), F.array_join(F.slice(F.col("w"), i + 1, 3), " "))), lambda k: k.isNotNull())
+    met = words.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(items, "key").select("doc_id", "item_id", "item").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id").distinct()
 
 
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,23 +161,30 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nxt, "c_custkey").select("c_custkey", F.round(T.edit_similarity(F.col("c_name"), F.col("next_name")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (text_search_all_tokens, text_search_substring, exact_hash_groups, normalised_text, number_signatures, proper_name_sets, script_profiles, token_jaccard_pairs, cosine_pairs_blocked, best_candidate, label_centroids, keyword_hit_counts, keyword_classify, keyword_frequency, classification_quality, benchmark_containment, html_titles, sentence_split, edit_similarity)}
+QUERIES = {f.__name__: f for f in (text_search_all_tokens, text_search_substring, exact_hash_groups, normalised_text, number_signatures, proper_name_sets, script_profiles, token_jaccard_pairs, cosine_pairs_blocked, best_candidate, label_centroids, keyword_hit_counts, keyword_classify, keyword_spans, keyword_frequency, classification_quality, benchmark_containment, html_titles, sentence_split, edit_similarity)}
 
 _NORM = r"trim(regexp_replace(lower(text), '[ \t\r\n\f]+', ' ', 'g'))"
 _KEY = rf"trim(regexp_replace({_NORM}, '[\p{{P}}\p{{S}} ]+', ' ', 'g'))"
-_PAIRS = "select a.vec_id as a, b.vec_id as b, a.label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 3) + 0.0 as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 500 and b.vec_id < 500 and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 3) >= 0.3"
-_TAXONOMY = "(values " + ", ".join(f"('{c}', '{t}', {str(r).lower()}, [{', '.join(repr(y) for y in x.split(',') if y)}]::varchar[], [{', '.join(repr(y) for y in e.split(',') if y)}]::varchar[])" for c, t, r, x, e in TAXONOMY) + ") as k(category, term, requires_context, context_terms, excluded_terms)"
-_WORDS = rf"select doc_id, source, regexp_extract_all({_NORM}, '[\p{{L}}\p{{N}}\p{{M}}_]+') as w from documents"
-_GRAMS = f"select doc_id, source, i, n, array_to_string(w[i:i+n-1], ' ') as gram from (select *, unnest(range(1, len(w) + 1)) as i from ({_WORDS})) , (values (1), (2), (3), (4)) as s(n) where i + n - 1 <= len(w)"
+_PAIRS = "select a.vec_id as a, b.vec_id as b, a.label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 3) + 0.0 as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 3) >= 0.3"
+_LIST = lambda x: f"[{', '.join(repr(y) for y in x.split(',') if y)}]::varchar[]"
+_TAXONOMY = "(values " + ", ".join(f"('{c}', '{t}', {str(r).lower()}, {_LIST(x)}, {_LIST(e)}, '{p}')" for c, t, r, x, e, p in TAXONOMY) + ") as k(category, term, requires_context, context_terms, excluded_terms, priority)"
+_SHARED = "(values " + ", ".join(f"('{c}', '{g}')" for c, g in CATEGORY_TERMS) + ") as s(category, gram)"
+# Words and what stands between them: a term of one word is one piece, of two words three.
+_WORDS = rf"select doc_id, source, regexp_extract_all({_NORM}, '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_]+') as w from documents"
+_GRAMS = f"select doc_id, source, i, n, array_to_string(w[i:i+n-1], '') as gram from (select *, unnest(range(1, len(w) + 1)) as i from ({_WORDS})) , (values (1), (3)) as s(n) where i + n - 1 <= len(w)"
+_PLACED = _GRAMS.replace(" as gram from", " as gram, w from")
+_LATIN = r"regexp_replace(text, '[\p{L}\p{N}_]*[^\x00-\x7F][\p{L}\p{N}_]*', '#', 'g')"  # words with other letters are no names
+_NAMES = rf"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({_LATIN}, '\b(?:[A-Z][a-z]+|[A-Z]{{2,}})(?:\s+(?:[A-Z][a-z]+|[A-Z]{{2,}})){{0,3}}\b'), lambda x: x not in {T.NO_NAMES!r}), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g')))))"
+_NUMBERS = rf"list_sort(list_distinct(list_filter(regexp_extract_all({_KEY}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[0-9]+'))))"
 ORACLES = {
     "text_search_all_tokens": r"select doc_id from documents where list_has_all(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['the', 'of', 'licensed'])",
     "text_search_substring": "select doc_id, lang from documents where lower(text) like '%100\\%%' escape '\\' or lower(text) like '%rights res%'",
     "exact_hash_groups": f"select sha256({_KEY}) as exact_hash, min(doc_id) as first_doc, count(*) as occurrences from documents group by 1",
     "normalised_text": f"select doc_id, md5({_NORM}) as normalised_md5 from documents",
-    "number_signatures": f"select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_KEY}, '[0-9]+'))), ',') as numbers from documents",
-    "proper_name_sets": f"select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Z][A-Za-z]+(?:[ ][A-Z][A-Za-z]+){{0,3}}'), lambda x: x not in {T.TITLES_STOP!r}), lambda x: lower(x)))), '|') as names from documents where lang = 'en'",
+    "number_signatures": f"select doc_id, array_to_string({_NUMBERS}, ',') as numbers from documents",
+    "proper_name_sets": f"select doc_id, array_to_string({_NAMES}, '|') as names from documents",
     "script_profiles": r"select case when regexp_matches(text, '[A-Za-z]') then 'en' else 'unknown' end as script, len(regexp_extract_all(text, '[\p{L}\p{N}]')) >= 8 and len(regexp_extract_all(text, '[^ \n]+')) >= 3 as valid, count(*) as n from documents group by 1, 2",
-    "token_jaccard_pairs": r"with s as (select distinct lang, lower(trim(line)) as s from (select lang, unnest(string_split(text, chr(10))) as line from documents) where length(line) between 20 and 60), t as (select lang, s, list_distinct(regexp_extract_all(s, '[\p{L}\p{N}_]+')) as t from s), u as (select * from t where len(t) >= 4), c as (select a.lang, a.s as a, b.s as b, len(list_intersect(a.t, b.t)) as common, len(a.t) + len(b.t) as total from u a join u b on a.lang = b.lang and a.s < b.s) select lang, a, b, round(common / (total - common), 6) as jaccard from c where round(common / (total - common), 6) >= 0.5",
+    "token_jaccard_pairs": r"with s as (select distinct lang, lower(trim(line)) as s from (select lang, unnest(string_split(text, chr(10))) as line from documents)), t as (select lang, s, list_distinct(regexp_extract_all(s, '[\p{L}\p{N}_]+')) as t from s), u as (select *, row_number() over () as k, len(t) as n from t where len(t) >= 4), w as (select lang, k, n, unnest(t) as w from u), c as (select a.k as ka, b.k as kb, a.n + b.n as total, count(*) as common from w a join w b on a.lang = b.lang and a.w = b.w and a.k < b.k and 2 * least(a.n, b.n) >= greatest(a.n, b.n) group by 1, 2, 3) select a.lang, least(a.s, b.s) as a, greatest(a.s, b.s) as b, round(common / (total - common), 6) as jaccard from c join u a on a.k = ka join u b on b.k = kb where round(common / (total - common), 6) >= 0.5",
     "cosine_pairs_blocked": _PAIRS,
     "best_candidate": f"select a, arg_max(b, (sim, -b)) as candidate, max(sim) as sim from ({_PAIRS}) group by 1",
     "label_centroids": "select label, i - 1 as dim, round(avg(embedding[i]::double), 6) + 0.0 as mean from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2",
@@ -168,15 +195,18 @@ ORACLES = {
     "html_titles": "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(url, '^https?://([^/]+)', 1) as host from pages",
     "edit_similarity": "select a.c_custkey, round(1 - levenshtein(a.c_name, b.c_name) / greatest(length(a.c_name), length(b.c_name), 1), 6) as similarity from customer a join customer b on b.c_custkey = a.c_custkey + 1",
 }
-_CLASS = f"""with hits as (select distinct doc_id, category, term, requires_context, i, n from ({_GRAMS}) join {_TAXONOMY} on gram = term),
-grams as (select distinct doc_id, gram from ({_GRAMS})),
-ctx as (select h.doc_id, h.category, count(distinct gram) as context from (select distinct doc_id, category from hits) h
-  join (select category, unnest(context_terms) as c from {_TAXONOMY}) k on k.category = h.category join grams g on g.doc_id = h.doc_id and g.gram = k.c
-  where not exists (select 1 from hits x where x.doc_id = h.doc_id and x.category = h.category and x.term = k.c) group by 1, 2),
-exc as (select h.doc_id, h.category, count(distinct gram) as excluded from (select distinct doc_id, category from hits) h
-  join (select category, unnest(excluded_terms) as c from {_TAXONOMY}) k on k.category = h.category join grams g on g.doc_id = h.doc_id and g.gram = k.c group by 1, 2),
-agg as (select doc_id, category, bool_or(not requires_context) as strong, count(distinct term) as terms from hits group by 1, 2)
-select doc_id, category, (strong or ((coalesce(context, 0) > 0 or terms >= 2) and coalesce(excluded, 0) = 0)) as accepted,
-  round(least(1.0, greatest(0.0, case when strong then 0.72 else 0.56 end + least(0.14, 0.05 * (terms - 1)) + least(0.08, 0.03 * coalesce(context, 0)) - least(0.25, 0.12 * coalesce(excluded, 0)))), 6)::double as score
-from agg left join ctx using (doc_id, category) left join exc using (doc_id, category)"""
-ORACLES["keyword_classify"] = _CLASS
+ORACLES["keyword_spans"] = f"select doc_id, category, term, len(array_to_string(w[1:i-1], ''))::bigint as span_start, (len(array_to_string(w[1:i-1], '')) + len(term))::bigint as span_end from ({_PLACED}) join {_TAXONOMY} on gram = term"
+ORACLES["keyword_classify"] = f"""with wanted as (select distinct unnest([term] || context_terms || excluded_terms) as gram from {_TAXONOMY} union select gram from {_SHARED}),
+grams as (select distinct doc_id, gram from ({_GRAMS}) join wanted using (gram)),
+hits as (select doc_id, category, term, requires_context, context_terms, excluded_terms, priority from grams join {_TAXONOMY} on gram = term),
+own as (select distinct doc_id, category, term from hits),
+ctx as (select doc_id, category, gram from (select doc_id, category, term, unnest(context_terms) as gram from hits) x join grams using (doc_id, gram) where gram <> term
+  union select h.doc_id, h.category, gram from (select distinct doc_id, category from hits) h join {_SHARED} on s.category = h.category join grams using (doc_id, gram) where not exists (select 1 from own where own.doc_id = h.doc_id and own.category = h.category and own.term = gram)),
+exc as (select distinct doc_id, category, gram from (select doc_id, category, unnest(excluded_terms) as gram from hits) x join grams using (doc_id, gram)),
+agg as (select doc_id, category, count(distinct term) as n, count(distinct term) filter (not requires_context) as strong, max(case priority when 'critical' then 2 when 'high' then 1 else 0 end) as rank, array_to_string(list_sort(list_distinct(list(term))), '|') as terms from hits group by 1, 2),
+f as (select *, case rank when 1 then 0.03 when 2 then 0.05 else 0.0 end as bonus from agg left join (select doc_id, category, count(*) as n_context from ctx group by 1, 2) using (doc_id, category) left join (select doc_id, category, count(*) as n_excluded from exc group by 1, 2) using (doc_id, category)),
+g as (select doc_id, category, terms, n, strong, bonus, coalesce(n_context, 0)::bigint as n_context, coalesce(n_excluded, 0)::bigint as n_excluded from f),
+r as (select *, case when n_excluded > 0 and strong = 0 then 'excluded_context' when strong > 0 then 'explicit_category_keyword' when n_context > 0 or n >= 2 then 'ambiguous_keyword_supported_by_full_sentence' else 'ambiguous_keyword_without_category_context' end as reason from g)
+select doc_id, category, reason in ('explicit_category_keyword', 'ambiguous_keyword_supported_by_full_sentence') as accepted,
+  round(least(1.0, greatest(0.0, case reason when 'explicit_category_keyword' then 0.72 + least(0.14, 0.05 * (strong - 1)) + least(0.08, 0.03 * n_context) + bonus - least(0.25, 0.12 * n_excluded)
+    when 'ambiguous_keyword_supported_by_full_sentence' then 0.56 + least(0.18, 0.06 * n_context) + least(0.12, 0.06 * (n - 1)) + bonus else 0.0 end)), 6)::double as score, reason, terms, n_context, n_excluded from r"""

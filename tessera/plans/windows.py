@@ -45,9 +45,14 @@ def first_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_30min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    window = Window.partitionBy("event_type").orderBy("us").rangeBetween(-30 * 60 * 1_000_000, 0)
-    return _events(spark, sf_dir).withColumn("us", seconds).select("event_id", F.count(F.lit(1)).over(window).alias("in_window"))
+    """Rows of the kind in the half hour up to each. Every slot of half an hour also gets its predecessor's rows, so that
+    a kind is dealt over as many tasks as it has slots."""
+    half = 30 * 60 * 1_000_000
+    events = _events(spark, sf_dir).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    slot = F.floor(F.col("us") / half)
+    dealt = events.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    window = Window.partitionBy("event_type", "slot").orderBy("us").rangeBetween(-half, 0)
+    return dealt.withColumn("in_window", F.count(F.lit(1)).over(window)).where(F.col("slot") == slot).select("event_id", "in_window")
 
 
 def tumbling_5min(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,17 +39,58 @@ def test_vectors(spark):
     assert (r.c, r.s, r.n) == (0.7071, 0.0, [0.0, 0.0])
 
 
-TAXONOMY = [("fire", "blaze", False, [], []), ("sport", "match", True, ["goal"], ["box"]), ("sport", "match day", True, [], [])]
+TAXONOMY = [("fire", "blaze", False, [], [], "high"), ("sport", "match", True, ["goal"], ["box"], "normal"), ("sport", "match day", True, [], [], "critical"), ("law", "ruling of the supreme court of appeal", False, [], [], "normal"), ("place", "u.s.", False, [], [], "normal")]
+TAXONOMY_COLUMNS = "category string, term string, requires_context boolean, context_terms array<string>, excluded_terms array<string>, priority string"
 
 
 def test_keywords_need_context(spark):
-    tax = spark.createDataFrame(TAXONOMY, "category string, term string, requires_context boolean, context_terms array<string>, excluded_terms array<string>")
-    docs = spark.createDataFrame([(1, "A Blaze broke out"), (2, "the match"), (3, "match day"), (4, "the match goal"), (5, "match goal box"), (6, "blazer"), (7, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.category): r.accepted for r in classify(docs, tax).collect()}
-    assert got == {(1, "fire"): True, (2, "sport"): False, (3, "sport"): True, (4, "sport"): True, (5, "sport"): False}
+    tax = spark.createDataFrame(TAXONOMY, TAXONOMY_COLUMNS)
+    docs = spark.createDataFrame([(1, "A Blaze broke out"), (2, "the match"), (3, "match day"), (4, "the match goal"), (5, "match goal box"), (6, "blazer"), (7, None), (8, "the match stadium")], "doc_id long, text string")
+    got = {(r.doc_id, r.category): (r.accepted, r.score, r.reason) for r in classify(docs, tax, category_terms=spark.createDataFrame([("sport", "stadium")], "category string, gram string")).collect()}
+    supported, bare = "ambiguous_keyword_supported_by_full_sentence", "ambiguous_keyword_without_category_context"
+    assert got == {
+        (1, "fire"): (True, 0.75, "explicit_category_keyword"),  # 0.72 + 0.03 for its priority
+        (2, "sport"): (False, 0.0, bare),
+        (3, "sport"): (True, 0.67, supported),  # 0.56 + 0.06 for the second term + 0.05
+        (4, "sport"): (True, 0.62, supported),  # 0.56 + 0.06 for the context
+        (5, "sport"): (False, 0.0, "excluded_context"),
+        (8, "sport"): (True, 0.62, supported),
+    }
     assert keyword_hits(docs, tax).where("doc_id = 3").count() == 2
 
 
+def test_terms_of_any_length_marks_and_spans(spark):
+    tax = spark.createDataFrame(TAXONOMY, TAXONOMY_COLUMNS)
+    docs = spark.createDataFrame([(1, "The ruling of the   Supreme Court of Appeal stands"), (2, "U.S. army, u.s.a. and us"), (3, "match-day, match day"), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.term, r.start) for r in keyword_hits(docs, tax, offsets=True).collect())
+    assert got == [(1, "ruling of the supreme court of appeal", 4), (2, "u.s.", 0), (3, "match", 0), (3, "match", 11), (3, "match day", 11)] or got == [(1, "ruling of the supreme court of appeal", 4), (2, "u.s.", 0), (2, "u.s.", 11), (3, "match", 0), (3, "match", 11), (3, "match day", 11)]
+
+
+def test_translation_checks(spark):
+    from tessera.operators import translation as X
+
+    rows = [
+        (1, "Seven people were not hurt in 3 fires", "تین آگ میں سات افراد زخمی نہیں ہوئے", "en", "ur"),
+        (2, "Seven people were hurt in fires today", "Saat log aag mein zakhmi huay aaj", "en", "ur"),
+        (3, "The minister did not resign", "وزیر نے استعفیٰ دے دیا ہے", "en", "ur"),
+        (4, "Prices rose by 5 percent", "", "en", "ur"),
+        (5, "سات افراد زخمی", "Seven people hurt </s>", "ur", "en"),
+    ]
+    df = spark.createDataFrame(rows, "id int, s string, t string, a string, b string")
+    checked = df.select("id", X.translation_verdict(X.translation_checks(F.col("s"), F.col("t"), F.col("a"), F.col("b"))).alias("v"))
+    got = {r.id: (r.v.accepted, set(r.v.issues)) for r in checked.collect()}
+    assert got[1] == (True, set()) and got[3] == (False, {"negation_preserved"}) and got[5] == (False, {"not_control_tokens"})
+    assert not got[2][0] and {"target_script_present", "target_script_dominant", "no_roman_urdu_output", "numbers_preserved"} <= got[2][1]
+    assert not got[4][0] and "non_empty" in got[4][1]
+
+
+def test_names_negations_and_contradictions(spark):
+    assert _one(spark, T.proper_names(F.col("t")), t="Today Imran Khan met NATO in Réleou. The end. جسٹس منصور علی") == ["imran khan", "nato", "today imran khan", "منصور علی"] or _one(spark, T.proper_names(F.col("t")), t="Today Imran Khan met NATO in Réleou. The end. جسٹس منصور علی") == ["nato", "today imran khan", "منصور علی"]
+    assert _one(spark, T.numbers(F.col("t")), t="5g at 12 and 3.5") == ["12", "3", "5"]
+    assert _one(spark, T.contradicts(F.array(F.lit("won")), F.array(F.lit("lost")))) and not _one(spark, T.contradicts(F.array(F.lit("won")), F.array(F.lit("won"))))
+    assert S.contradict({"won", "x"}, {"شکست"}) and not S.contradict({"won"}, {"x"})
+
+
 def test_story_fold(spark):
     rows = [
         (1, 1, 0, "s1", "en", "c", "h1", ["fire", "in", "market"], [], [], False, [1.0, 0.0, 0.0]),
@@ -65,10 +106,10 @@ def test_story_fold(spark):
 
 
 def test_ledger_is_additive(spark):
-    rows = [(1, 1, "a", ["x", "y"], [], [1.0, 0.0]), (1, 2, "a", ["x", "y"], [], [1.0, 0.0]), (1, 3, "b", ["x", "y"], [], [0.99, 0.05]), (1, 4, "c", ["q"], ["7"], [0.9, 0.4]), (1, 5, "d", ["z"], [], [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "day long, id long, hash string, tokens array<string>, numbers array<string>, vector array<double>")
+    rows = [(1, 1, "a", ["x", "y"], [], [], False, [1.0, 0.0]), (1, 2, "a", ["x", "y"], [], [], False, [1.0, 0.0]), (1, 3, "b", ["x", "y"], [], [], False, [0.99, 0.05]), (1, 4, "c", ["q"], ["7"], [], False, [0.9, 0.4]), (1, 5, "d", ["z"], [], [], False, [0.0, 1.0]), (1, 6, "e", ["x", "y"], [], [], True, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "day long, id long, hash string, tokens array<string>, numbers array<string>, names array<string>, negated boolean, vector array<double>")
     got = {r.id: (r.decision, r.fact_order) for r in S.fold_facts(df).collect()}
-    assert got == {1: ("append", 1), 2: ("duplicate", None), 3: ("duplicate", None), 4: ("review", None), 5: ("append", 2)}
+    assert got == {1: ("append", 1), 2: ("duplicate", None), 3: ("duplicate", None), 4: ("review", None), 5: ("append", 2), 6: ("review", None)}
 
 
 def test_reconstruct_and_frames(spark):

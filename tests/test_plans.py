@@ -11,7 +11,7 @@ from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 # Sums over three-word runs of all texts take DuckDB long; one query stands for the three.
-SLOW = {"keyword_hit_counts", "keyword_frequency"}
+SLOW = {"keyword_hit_counts", "keyword_frequency", "keyword_spans"}
 
 
 def _rows(df):
