@@ -80,8 +80,9 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = _lines(_docs(spark, sf_dir)).select("lang", F.lower(F.trim("line")).alias("s")).distinct().withColumn("t", F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).where(F.size("t") >= 4).withColumn("k", F.md5("s"))
     words = sentences.select("lang", "k", F.size("t").alias("n"), F.explode_outer("t").alias("w"))
     ranked = words.join(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("df")), ["lang", "w"])
-    prefix = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy("df", "w"))).where("r <= n - ceil(0.5 * n) + 1").select("lang", "k", "n", "w")
-    met = prefix.toDF("lang", "ka", "na", "w").join(prefix.toDF("lang", "kb", "nb", "w"), ["lang", "w"]).where("ka < kb and 2 * least(na, nb) >= greatest(na, nb)")
+    prefix = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy("df", "w"))).where("r <= n - ceil(0.5 * n) + 1").select("lang", "k", "n", "w", "r")
+    # At the first token that two sentences share, what is left of both must still allow the overlap.
+    met = prefix.toDF("lang", "ka", "na", "w", "ra").join(prefix.toDF("lang", "kb", "nb", "w", "rb"), ["lang", "w"]).where("ka < kb and 2 * least(na, nb) >= greatest(na, nb) and 3 * (1 + least(na - ra, nb - rb)) >= na + nb")
     pairs = met.select("lang", "ka", "kb").distinct()
     sets = sentences.select("lang", "k", "s", "t")
     both = pairs.join(sets.toDF("lang", "ka", "sa", "ta"), ["lang", "ka"]).join(sets.toDF("lang", "kb", "sb", "tb"), ["lang", "kb"])
