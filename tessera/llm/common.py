@@ -63,16 +63,15 @@ def release() -> None:
         pass
 
 
-def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back; the folder goes when the driver ends.
 
     Cuts the lineage like checkpoint(), survives lost executors, and gives the planner the true size,
     so a later join broadcasts it only where that size is below `spark.sql.autoBroadcastJoinThreshold`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -484,6 +484,41 @@ def test_pipeline_runs(spark):
     assert 100 < len(out) < 200 and out.round_trip.all() and math.isfinite(out.score.sum())
 
 
+def _folder(spark, at, texts):
+    """A folder of tables whose documents have nulls in every column, repeated rows and a further column."""
+    rows = [(k, t, "en", f"s{k % 4}", len(t or ""), "x") for k, t in enumerate(texts)]
+    rows += [(None, passage(3, 80), None, None, None, None), (None, None, None, None, None, None), *rows[:3]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 2), 0) for k in range(len(texts))] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, passage(60, 60)), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_pipeline_stages_on_nulls_ties_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [passage(k, 90) for k in range(4)]
+    texts = [*EDGE, *good, good[0], f"{passage(80, 20)} {passage(60, 60)} {passage(81, 20)}"]
+    at = _folder(spark, tmp_path / "some", texts)
+    docs_ = spark.read.parquet(f"{at}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "lines", "near_duplicates", "benchmark", "pieces"]
+    n = len(texts) + 5
+    assert stages["quality"](spark, docs_, at).count() <= n
+    assert stages["lines"](spark, docs_, at).count() == n
+    near = stages["near_duplicates"](spark, docs_, at)
+    ids = [r.doc_id for r in near.collect()]
+    assert ids.count(None) == 2 and len(set(ids)) == len(ids) - 1 and len(EDGE) + 4 not in ids  # copies go, one row of each id stays
+    left = {r.doc_id for r in stages["benchmark"](spark, docs_, at).collect()}
+    assert left == {*range(len(texts) - 1), None}
+    pieces = stages["pieces"](spark, docs_, at)
+    assert pieces.count() == n and pieces.where("not round_trip").isEmpty()
+    none = docs_.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, at)
+        assert out.count() == 0 and (name == "pieces" or out.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
 def test_shards_are_linked_by_every_shared_line(spark):
     texts = ["\n".join([f"a line of group {k % 4} that others have", f"another line of group {k % 4} as well", *(f"own line {j} of the text {k} alone" for j in range(40))]) for k in range(16)]
     rows = sharding._described(docs(spark, texts), "text").selectExpr("doc_id as unit", "bigint(1) as n", "hubs")
