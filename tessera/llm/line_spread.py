@@ -21,9 +21,16 @@ MIN_SITES, LONG_WORDS, LONG_SITES = 10, 50, 2
 #: HyperLogLog registers: 2 ** LG_K; the band of exact counts is SIGMAS standard errors wide to either side.
 LG_K, SIGMAS = 10, 5.0
 
+#: Lines (keys of 12 bytes and a few numbers) up to which they are broadcast; beyond, all lines are shuffled to them.
+BROADCAST_ROWS = 500_000
+
 _TRIM = " \t\r\x0b\x0c"
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def _lines(text: str):
     return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(_TRIM)))
 
@@ -50,11 +57,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int =
     seen = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min(F.when(~F.col("no_id"), F.col("id"))).alias("named"), F.min(F.when(F.col("no_id"), F.col("id"))).alias("nameless"), F.bool_or("long").alias("long"))
     seen = stored(seen.where(F.col("n") >= need).select("h1", "h2", F.col("named").isNull().alias("first_no_id"), F.coalesce("named", "nameless").alias("first_id"), "long"))
     on_sites = lines.where("site is not null").select("h1", "h2", "site")
-    spread = on_sites.join(seen.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    spread = on_sites.join(_sent(seen.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).join(seen, ["h1", "h2"])
     spread = stored(spread.where(F.col("sites") >= need * (1 - error)))
     near = spread.where(F.col("sites") <= min_sites * (1 + error)).select("h1", "h2")
-    pairs = on_sites.join(near, ["h1", "h2"], "left_semi").distinct()
+    pairs = on_sites.join(_sent(near), ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
     found = spread.join(exact, ["h1", "h2"], "left").withColumn("sites", F.coalesce("exact", "sites"))
     return stored(found.where(F.col("sites") >= need).select("h1", "h2", "first_no_id", "first_id", (F.col("sites") >= min_sites).alias("wide")))
@@ -72,7 +79,7 @@ def line_spread(docs: DataFrame, site: str = "source", text: str = "text", min_s
     """
     lines = keyed_lines(docs, site, text, long_words)
     found = boilerplate(lines, min_sites, long_sites)
-    gone = lines.join(found, ["h1", "h2"]).where("no_id <> first_no_id or id <> first_id").select("no_id", "id", "whole", "pos", "wide", "chars").distinct()
+    gone = lines.join(_sent(found), ["h1", "h2"]).where("no_id <> first_no_id or id <> first_id").select("no_id", "id", "whole", "pos", "wide", "chars").distinct()
     gone = gone.groupBy("no_id", "id", "whole").agg(F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("wide"), F.collect_list(F.when(~F.col("wide"), F.col("pos"))).alias("long"), F.sum(F.when(~F.col("wide"), F.col("chars"))).alias("chars"))
     gone = stored(gone).select(F.col("no_id").alias("__no_id"), F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.struct("wide", "long", "chars").alias("__gone"))
     no_id = F.col("doc_id").isNull()

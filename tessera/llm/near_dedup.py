@@ -385,10 +385,10 @@ class NearDuplicates:
                 self.links, self.groups = self.links.union(more), joined(self.groups, more)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, sim) of each pair, stored; the texts of the pairs' classes only are moved."""
+        """(a, b, sim) of each pair, stored; the texts of the pairs' classes only are moved, and never broadcast: they grow."""
         texts = self.texts(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+        both = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_compared(self.idf), "a long, b long, sim double"))
 
     def texts(self, wanted: DataFrame) -> DataFrame:
