@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # Digits of the Arabic script, marks that matching ignores, letters that are folded.
 ARABIC_DIGITS, ASCII_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
@@ -162,3 +162,118 @@ def overlap(a: Column, b: Column) -> Column:
     """The longest k with the last k tokens of a equal to the first k of b, as a column expression."""
     most = F.least(F.size(a), F.size(b))
     return F.coalesce(F.array_max(F.filter(F.when(most > 0, F.sequence(F.lit(1), F.greatest(most, F.lit(1)))), lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k))), F.lit(0))
+
+
+# Letters and joiners as recognised lines fold them.
+_READING = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ۀ": "ہ", "ة": "ہ", "ؤ": "و", "إ": "ا", "أ": "ا", "ٱ": "ا", "ـ": "", "‌": " ", "‍": "", "﻿": ""})
+# Letters that the taxonomy's Urdu terms fold, and marks they drop.
+_TERM, _TERM_MARKS = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ي": "ی", "ى": "ی", "ئ": "ی", "ك": "ک", "ة": "ہ", "ۀ": "ہ", "ؤ": "و"}), re.compile(r"[ؐ-ًؚ-ٰٟٴۖ-ۭ]")
+_PIECES = re.compile(r"[^\W_]+(?:[./:-][^\W_]+)*|[^\w\s]")
+_LEFT, _RIGHT = frozenset(".,!?;:،؛۔؟)]}"), frozenset("([{")
+
+
+def reading(text: str) -> str:
+    """A recognised line: NFKC, folded letters, without marks, single spaces."""
+    folded = unicodedata.normalize("NFKC", text).translate(_READING)
+    return " ".join("".join(c for c in folded if unicodedata.category(c) != "Mn").split())
+
+
+def compared(text: str) -> str:
+    """What two readings are compared by: letters and digits of the reading, in full case folding."""
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in reading(text).casefold()).split())
+
+
+def term(text: str, language: str) -> str:
+    """A taxonomy term: letters folded and marks dropped in Urdu, full case folding elsewhere."""
+    text = unicodedata.normalize("NFKC", text).strip().replace("ـ", "")
+    text = _TERM_MARKS.sub("", text).translate(_TERM) if language == "ur" else text.casefold()
+    return re.sub(r"\s+", " ", text)
+
+
+@F.pandas_udf(StringType())
+def reading_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else reading(t))
+
+
+@F.pandas_udf(StringType())
+def compared_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else compared(t))
+
+
+@F.pandas_udf(StringType())
+def normalised_term(texts: pd.Series, languages: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else term(t, lang) for t, lang in zip(texts, languages)], dtype=object)
+
+
+def number_runs(text: Column) -> Column:
+    """Numbers of a reading in their order, with the separators inside them."""
+    return F.regexp_extract_all(text, F.lit(r"\p{Nd}[\p{Nd},.:/-]*\p{Nd}|\p{Nd}"), F.lit(0))
+
+
+@F.pandas_udf(StructType().add("normalised", StringType()).add("origin", ArrayType(IntegerType())))
+def match_view(texts: pd.Series) -> pd.DataFrame:
+    """The text as matching sees it (see nfkc_match_normalised), and for each of its characters its place in the original."""
+    fold, marks = str.maketrans(LETTERS_FROM, LETTERS_TO), re.compile(r"[ـؐ-ًؚ-ٰٟۖ-ۭ]")
+
+    def view(text: str | None) -> tuple[str | None, list[int] | None]:
+        if text is None:
+            return None, None
+        out: list[str] = []
+        origin: list[int] = []
+        for at, original in enumerate(text):
+            for c in marks.sub("", unicodedata.normalize("NFKC", original)).translate(fold).casefold():
+                c = " " if c.isspace() else c
+                if c != " " or out and out[-1] != " ":
+                    out.append(c)
+                    origin.append(at)
+        if out and out[-1] == " ":
+            out.pop(), origin.pop()
+        return "".join(out), origin
+
+    return pd.DataFrame(list(map(view, texts)), columns=["normalised", "origin"])
+
+
+def original_span(origin: Column, start: Column, end: Column) -> Column:
+    """The place in the original (end exclusive) of characters start to end of the normalised text; (0, 0) for none."""
+    last = F.size(origin) - 1
+    first = F.greatest(F.lit(0), F.least(start, last))
+    until = F.greatest(first, F.least(end - 1, last))
+    found = F.struct(F.get(origin, first).alias("start"), (F.get(origin, until) + 1).alias("end"))
+    return F.when((last >= 0) & (start < end), found).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+
+
+def _key(piece: str) -> str:
+    return piece.strip(".,!?;:،؛۔؟()[]{}\"'’”").casefold() or piece
+
+
+def _written(pieces: list[str]) -> str:
+    out = pieces[0] if pieces else ""
+    for p in pieces[1:]:
+        out += p if p in _LEFT or out[-1:] in _RIGHT else " " + p
+    return out
+
+
+def merge_readings(a: str, b: str) -> tuple[str, int, str]:
+    """Two readings of one place as one text, the words they share, and how: by words alone, case and marks left out.
+
+    Of equal readings the longer stays (the newer of two equally long), of contained ones the container, and where the end of one is the start of
+    the other they are joined, the longer overlap first, the newer copy of the shared words kept when b continues a.
+    """
+    pieces = [_PIECES.findall(t) for t in (a, b)]
+    places = [[k for k, p in enumerate(ps) if re.search(r"[^\W_]", p)] for ps in pieces]
+    x, y = ([_key(ps[k]) for k in at] for ps, at in zip(pieces, places))
+    holds = lambda big, small: bool(small) and any(big[k : k + len(small)] == small for k in range(len(big) - len(small) + 1))
+    if x == y:
+        return (b if len(b) >= len(a) else a), len(x), "identical"
+    if holds(x, y):
+        return a, len(y), "incoming_contained"
+    if holds(y, x):
+        return b, len(x), "existing_contained"
+    lengths = range(min(len(x), len(y)), 0, -1)
+    append = next((k for k in lengths if x[-k:] == y[:k]), 0)
+    prepend = next((k for k in lengths if y[-k:] == x[:k]), 0)
+    if prepend > append:
+        return _written(pieces[1][: places[1][-prepend]] + pieces[0]), prepend, "prepend"
+    if append:
+        return _written(pieces[0][: places[0][-append]] + pieces[1]), append, "append"
+    return a, 0, "no_overlap"

@@ -6,6 +6,8 @@ frames) are as many as the data is long, and one key's rows are what the fold mu
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,53 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
+class StoryBook:
+    """The stories of one key so far, and which of them has a row of each exact hash."""
+
+    def __init__(self, state: dict | None = None) -> None:
+        state = state or {"stories": [], "hashes": {}}
+        self.stories = [s | {"vector": np.asarray(s["vector"], np.float32)} | {k: set(s[k]) for k in ("sources", "categories", "tokens")} for s in state["stories"]]
+        self.by_hash = {h: self.stories[k] for h, k in state["hashes"].items()}
+
+    def dump(self) -> dict:
+        """Plain data, fit for JSON."""
+        place = {id(s): k for k, s in enumerate(self.stories)}
+        stories = [s | {"vector": s["vector"].tolist()} | {k: sorted(s[k], key=str) for k in ("sources", "categories", "tokens")} for s in self.stories]
+        return {"stories": stories, "hashes": {h: place[id(s)] for h, s in self.by_hash.items()}}
+
+    def take(self, r) -> tuple[int | None, str]:
+        """(story_id, action) of the next row."""
+        vector, tokens = _unit(np.asarray(r.vector, np.float32)), set(r.tokens)
+        story = self.by_hash.get(r.exact_hash)
+        action = "merged" if story else "created"
+        if story is None:
+            best, top = None, -1.0
+            for s in reversed(self.stories):
+                if r.category in s["categories"] and (sim := round(float(s["vector"] @ vector), 6)) > top:
+                    best, top = s, sim
+            if best is not None:
+                window = r.source not in best["sources"] and abs(r.minutes - best["minutes"]) <= WINDOW_MINUTES
+                alike = r.lang == best["lang"] or "mixed" in (r.lang, best["lang"])
+                need = CROSS_LANGUAGE if not alike else CROSS_CHANNEL if window else SAME_DAY
+                union = tokens | best["tokens"]
+                lexical = len(tokens & best["tokens"]) / len(union) if union else 1.0
+                guarded = list(r.numbers) == best["numbers"] and list(r.names) == best["names"] and bool(r.negated) == best["negated"] and not contradict(tokens, best["tokens"])
+                if top >= need and (lexical >= OVERLAP or top >= STRONG) and guarded:
+                    story, action = best, "merged"
+                elif top >= REVIEW:
+                    return None, "pending_review"
+        if story is None:
+            story = {"id": int(r.id), "vector": vector, "n": 0, "sources": set(), "categories": set(), "minutes": int(r.minutes)}
+            self.stories.append(story)
+        story["vector"] = _unit((story["vector"] * story["n"] + vector) / (story["n"] + 1)).astype(np.float32)
+        story["n"] += 1
+        story["sources"].add(r.source)
+        story["categories"].add(r.category)
+        story |= {"minutes": max(story["minutes"], int(r.minutes)), "lang": r.lang, "tokens": tokens, "numbers": list(r.numbers), "names": list(r.names), "negated": bool(r.negated)}
+        self.by_hash[r.exact_hash] = story
+        return story["id"], action
+
+
 def cluster_stories(rows: DataFrame, key: str = "day") -> DataFrame:
     """(key, id, story_id, action): created, merged or pending_review, row by row in order of (seq, id).
 
@@ -64,49 +113,32 @@ def cluster_stories(rows: DataFrame, key: str = "day") -> DataFrame:
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        stories: list[dict] = []
-        by_hash: dict[str, dict] = {}
-        out = []
-        for r in frame.sort_values(["seq", "id"]).itertuples():
-            vector = _unit(np.asarray(r.vector, np.float32))
-            tokens = set(r.tokens)
-            story = by_hash.get(r.exact_hash)
-            action = "merged" if story else "created"
-            if story is None:
-                best, top = None, -1.0
-                for s in reversed(stories):
-                    if s["categories"] & {r.category} and (sim := round(float(s["vector"] @ vector), 6)) > top:
-                        best, top = s, sim
-                if best is not None:
-                    window = r.source not in best["sources"] and abs(r.minutes - best["minutes"]) <= WINDOW_MINUTES
-                    alike = r.lang == best["lang"] or "mixed" in (r.lang, best["lang"])
-                    need = CROSS_LANGUAGE if not alike else CROSS_CHANNEL if window else SAME_DAY
-                    union = tokens | best["tokens"]
-                    lexical = len(tokens & best["tokens"]) / len(union) if union else 1.0
-                    guarded = list(r.numbers) == best["numbers"] and list(r.names) == best["names"] and bool(r.negated) == best["negated"] and not contradict(tokens, best["tokens"])
-                    if top >= need and (lexical >= OVERLAP or top >= STRONG) and guarded:
-                        story, action = best, "merged"
-                    elif top >= REVIEW:
-                        action = "pending_review"
-            if action == "pending_review":
-                out.append((getattr(r, key), r.id, None, action))
-                continue
-            if story is None:
-                story = {"id": r.id, "vector": vector, "n": 0, "sources": set(), "categories": set(), "minutes": r.minutes}
-                stories.append(story)
-            story["vector"] = _unit((story["vector"] * story["n"] + vector) / (story["n"] + 1))
-            story["n"] += 1
-            story["sources"].add(r.source)
-            story["categories"].add(r.category)
-            story |= {"minutes": max(story["minutes"], r.minutes), "lang": r.lang, "tokens": tokens, "numbers": list(r.numbers), "names": list(r.names), "negated": bool(r.negated)}
-            by_hash[r.exact_hash] = story
-            out.append((getattr(r, key), r.id, story["id"], action))
+        book = StoryBook()
+        out = [(getattr(r, key), r.id, *book.take(r)) for r in frame.sort_values(["seq", "id"]).itertuples()]
         return pd.DataFrame(out, columns=[key, "id", "story_id", "action"]).astype({"story_id": "Int64"})
 
     kind = dict(rows.dtypes)[key]
     return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, id long, story_id long, action string")
 
 
+def cluster_stories_stream(rows: DataFrame, key: str = "day") -> DataFrame:
+    """cluster_stories of a stream: each key's stories stay in the state store, a micro-batch's rows are put in order.
+
+    A row that comes after later ones is compared with the stories as they are then; none is dropped for being late.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fold(day, batches, state):
+        book = StoryBook(json.loads(state.get[0])) if state.exists else StoryBook()
+        frame = pd.concat(list(batches)).sort_values(["seq", "id"])
+        out = [(day[0], r.id, *book.take(r)) for r in frame.itertuples()]
+        state.update((json.dumps(book.dump()),))
+        yield pd.DataFrame(out, columns=[key, "id", "story_id", "action"]).astype({"story_id": "Int64"})
+
+    kind = dict(rows.dtypes)[key]
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, id long, story_id long, action string", "body string", "append", GroupStateTimeout.NoTimeout)
+
+
 def fold_facts(rows: DataFrame, key: str = "day") -> DataFrame:
     """(key, id, decision, fact_order): duplicate, review or append of each candidate fact, in order of id.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feed", "texts", "windows", "domain", "records")
+MODULES = ("feed", "texts", "windows", "domain", "records", "frames")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
