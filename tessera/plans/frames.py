@@ -25,7 +25,7 @@ def repeated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", F.lit("breaking headline of the evening bulletin reads"), "event_type", F.get_json_object("props", "$.k"))
     rows = _events(spark, sf_dir).select("event_id", "user_id", "ts", text.alias("text")).withColumn("key", T.compared_text("text"))
     found = frames.repeated_frames(rows, "user_id", ["ts", "event_id"], "key", "text", "event_id")
-    return found.select("event_id", "repeated", F.round("similarity", 6).alias("similarity"), "like")
+    return found.select("event_id", "repeated", F.round("similarity", 6).alias("similarity"), F.coalesce("like", F.lit(-1)).alias("like"))
 
 
 def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def outbox_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isin("error", "click"), F.lit("refused")).alias("error"))
     now = F.to_timestamp(F.lit(_NOW))
     done = delivery.settle(_outbox(spark, sf_dir).where("published_at is null and dead_lettered_at is null").join(tried, "event_id"), now)
-    return done.select("event_id", "attempts", F.col("published_at").isNotNull().alias("published"), F.col("dead_lettered_at").isNotNull().alias("dead"), F.when(F.col("last_error").isNotNull() & F.col("dead_lettered_at").isNull(), (F.unix_seconds("available_at") - F.unix_seconds(now)).cast("int")).alias("delay"))
+    return done.select("event_id", "attempts", F.col("published_at").isNotNull().alias("published"), F.col("dead_lettered_at").isNotNull().alias("dead"), F.when(F.col("last_error").isNotNull() & F.col("dead_lettered_at").isNull(), (F.unix_seconds("available_at") - F.unix_seconds(now)).cast("int")).otherwise(-1).alias("delay"))
 
 
 def translated_by_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +107,14 @@ ORACLES = {
         h as (select *, min(case when s >= 0.97 and same then n end) over (partition by event_id) as hit from p),
         v as (select * from h where hit is null or n <= hit),
         r as (select event_id, bool_or(hit is not null) as repeated, max(s) as s, arg_max(other, (s, -n)) as other from v group by 1)
-        select e.event_id, coalesce(repeated, false) as repeated, round(coalesce(s, 0), 6) as similarity, case when s > 0 then other end as "like" from e left join r using (event_id)""",
+        select e.event_id, coalesce(repeated, false) as repeated, round(coalesce(s, 0), 6) as similarity, coalesce(case when s > 0 then other end, -1) as "like" from e left join r using (event_id)""",
     "second_readings": "select event_id, number from (select event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as number from events) where event_type = 'error' or 1 - event_id % 40 / 400 < 0.95 or number % 10 = 0",
     "region_classes": "select case when l_discount * 600 + 2 >= 50 then 'wide' when (l_quantity * 4 - 2 + l_discount * 600) / 200 < 0.38 then 'left' when (l_quantity * 4 - 2 + l_discount * 600) / 200 > 0.62 then 'right' else 'center' end as place, count(*) as n from lineitem group by 1",
     "offset_spans": "select p_partkey, lower(p_brand || ' ' || p_name) as normalised, length(p_brand)::int + 5 as start, (length(p_brand) + 5 + length(p_name))::int as \"end\" from part",
     "page_cursors": f"""with b as (select event_id, ('{{"t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || strftime(ts, '%f') end || '+00:00","i":"' || event_id || '"}}')::blob as body from events)
         select event_id, rtrim(replace(replace(to_base64(body || '.'::blob || unhex(sha256('{_OPAD}'::blob || unhex(sha256('{_IPAD}'::blob || body))))), '+', '-'), '/', '_'), '=') as cursor from b""",
     "outbox_claimed": f"select event_id, '2024-01-20 00:01:00' as leased_until from events where event_id % 3 <> 0 and event_id % 7 <> 0 and ts <= timestamp '{_NOW}' and event_id % 5 <> 0 order by ts, event_id limit 100",
-    "outbox_settled": """select event_id, (a + f)::int as attempts, f = 0 as published, f = 1 and a + 1 >= 4 as dead, case when f = 1 and a + 1 < 4 then least(300, 1 << (a + 1))::int end as delay
+    "outbox_settled": """select event_id, (a + f)::int as attempts, f = 0 as published, f = 1 and a + 1 >= 4 as dead, case when f = 1 and a + 1 < 4 then least(300, 1 << (a + 1))::int else -1 end as delay
         from (select event_id, (event_id % 4)::int as a, (event_type in ('error', 'click'))::int as f from events where event_id % 3 <> 0 and event_id % 7 <> 0)""",
     "translated_by_memory": "with m as (select distinct p_name from part where p_brand = 'Brand#1') select p_partkey, case when m.p_name is null then reverse(part.p_name) else 'known ' || part.p_name end as translated, m.p_name is not null as cached from part left join m using (p_name)",
 }
