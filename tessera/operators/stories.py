@@ -73,12 +73,13 @@ class StoryBook:
     def take(self, r) -> tuple[int | None, str]:
         """(story_id, action) of the next row."""
         vector, tokens = _unit(np.asarray(r.vector, np.float32)), set(r.tokens)
+        categories = {r.category} if r.category is None or isinstance(r.category, str) else set(r.category)
         story = self.by_hash.get(r.exact_hash)
         action = "merged" if story else "created"
         if story is None:
             best, top = None, -1.0
             for s in reversed(self.stories):
-                if r.category in s["categories"] and (sim := round(float(s["vector"] @ vector), 6)) > top:
+                if categories & s["categories"] and (sim := round(float(s["vector"] @ vector), 6)) > top:
                     best, top = s, sim
             if best is not None:
                 window = r.source not in best["sources"] and abs(r.minutes - best["minutes"]) <= WINDOW_MINUTES
@@ -97,7 +98,7 @@ class StoryBook:
         story["vector"] = _unit((story["vector"] * story["n"] + vector) / (story["n"] + 1)).astype(np.float32)
         story["n"] += 1
         story["sources"].add(r.source)
-        story["categories"].add(r.category)
+        story["categories"] |= categories
         story |= {"minutes": max(story["minutes"], int(r.minutes)), "lang": r.lang, "tokens": tokens, "numbers": list(r.numbers), "names": list(r.names), "negated": bool(r.negated)}
         self.by_hash[r.exact_hash] = story
         return story["id"], action
@@ -109,7 +110,7 @@ def cluster_stories(rows: DataFrame, key: str = "day") -> DataFrame:
     An exact repeat merges; else only the most similar story counts: it takes the row, or holds it for review, or the
     row founds a story. A story's vector is the running mean of its rows, made unit length at each step. A row held for
     review founds nothing. Columns: key, id, seq, minutes, source, lang, category, exact_hash, tokens, numbers, names,
-    negated, vector.
+    negated, vector. `category` is one or an array.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

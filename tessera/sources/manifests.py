@@ -9,6 +9,7 @@ KEYWORD_CASES = "id string, text string, language string, expected_categories ar
 DEDUP_STEPS = "step_id string, text string, language string, stream_id string, channel_name string, observed_at timestamp, category_ids array<string>, expected_action string, embedding array<double>"
 SEGMENT_CASES = "id string, stream_id string, channel_name string, frames array<struct<sequence:int,timestamp:timestamp,width:int,height:int,sha256:string,lines:array<struct<text:string,confidence:double,script:string,polygon:array<array<double>>>>>>, expected_units array<string>"
 TRANSLATION_CASES = "id string, source_text string, source_language string, acceptable_translations array<string>, required_terms array<string>, forbidden_terms array<string>, reference_text string"
+READING_CASES = "id string, image string, ground_truth_lines array<string>, language string, source string"
 COMMANDS = "id string, kind string, body string, checksum string, attempts int"
 
 
@@ -24,6 +25,25 @@ def keyword_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"language": F.coalesce("language", F.lit("mixed"))} | {c: F.coalesce(c, none) for c in ("expected_categories", "forbidden_categories", "expected_terms")})
 
 
+def dedup_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The steps of one file with their order as `seq`, which is the order of the file's lines."""
+    rows = json_lines(spark, path, DEDUP_STEPS).coalesce(1)
+    return rows.withColumn("seq", F.monotonically_increasing_id())
+
+
+def reading_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of recognition with the path of their picture, which stands beside the manifest if it is relative."""
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    rows = json_lines(spark, path, READING_CASES).where(F.size("ground_truth_lines") > 0)
+    image = F.when(F.regexp_like("image", F.lit("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")), F.col("image")).otherwise(F.concat(F.lit(folder + "/"), "image"))
+    return rows.withColumns({"image": image, "language": F.coalesce("language", F.lit("mixed")), "source": F.coalesce("source", F.lit("manual"))})
+
+
+def translation_cases(spark: SparkSession, path: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return json_lines(spark, path, TRANSLATION_CASES).withColumns({c: F.coalesce(c, none) for c in ("acceptable_translations", "required_terms", "forbidden_terms")})
+
+
 def frame_lines(cases: DataFrame) -> DataFrame:
     """(id, sequence, line, text, confidence, script, x0, y0, x1, y1, accepted) of nested segmentation cases."""
     frames = cases.select("id", F.explode("frames").alias("f"))

@@ -54,6 +54,28 @@ class KeyedTable:
         latest.select(*self.keys, "row.*").write.mode("overwrite").parquet(f"{self.path}/v={number}")
 
 
+class SummedTable(KeyedTable):
+    """Counts by key without a watermark: a row that comes late still counts, however late. Same versions, same replay."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], counts: list[str]) -> None:
+        super().__init__(spark, path, keys, keys)
+        self.counts = counts
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch: `batch` has the keys and the counts to add."""
+        before = [v for v in self._versions() if v < number]
+        rows = batch.select(*self.keys, *self.counts)
+        rows = rows if not before else self.read(before[-1]).unionByName(rows)
+        rows.groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.counts)).write.mode("overwrite").parquet(f"{self.path}/v={number}")
+
+
+def slot_rows(events: DataFrame, minutes: int = 5) -> DataFrame:
+    """(start, event_type, n) of each event, for SummedTable: slot_counts that keeps late rows."""
+    width = minutes * 60
+    start = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / width) * width
+    return events.select(start.alias("start"), "event_type", F.lit(1).cast("long").alias("n"))
+
+
 def run_once(stream: DataFrame, apply, checkpoint: str) -> None:
     """Process all that is there, in bounded micro-batches, and stop."""
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
