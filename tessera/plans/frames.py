@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import delivery, frames
+from tessera.operators import delivery, evaluation, frames
 from tessera.session import table
 
 SECRET = "page-secret"
@@ -99,7 +99,24 @@ def translated_by_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "translated", "cached")
 
 
-QUERIES = {f.__name__: f for f in (repeated_frames, second_readings, region_classes, track_units, offset_spans, page_cursors, outbox_claimed, outbox_settled, translated_by_memory)}
+def taxonomy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms (part names) of categories (brands): priority, and whether more than one category owns them."""
+    parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("terms"))
+    categories = parts.select(F.col("p_brand").alias("id"), F.length("p_brand").alias("position"), F.array(F.lit("part")).alias("context"), F.create_map(F.lit("en"), "terms").alias("terms"))
+    _, terms = delivery.taxonomy_rows(categories, ["Small Ring"], ["red widget", "small ring"], ["blue bolt"])
+    return terms.select("id", "normalised", "priority", "requires_context", F.array_join("context_terms", ",").alias("context"))
+
+
+def translation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as outputs against approved names, required and forbidden words."""
+    parts = table(spark, sf_dir, "part")
+    status = F.when(F.col("p_partkey") % 7 != 0, "complete").otherwise("pending")
+    word = F.element_at(F.split("p_name", " "), 1)
+    cases = parts.select(F.col("p_partkey").alias("id"), status.alias("status"), F.col("p_name").alias("translated"), F.array(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  ")))).alias("acceptable_translations"), F.lit(None).cast("string").alias("reference_text"), F.array(F.upper(word), F.lit(" ")).alias("required_terms"), F.array(F.lit("RING")).alias("forbidden_terms"))
+    return evaluation.translation_cases(cases)
+
+
+QUERIES = {f.__name__: f for f in (repeated_frames, second_readings, region_classes, track_units, offset_spans, page_cursors, outbox_claimed, outbox_settled, translated_by_memory, taxonomy_terms, translation_verdicts)}
 ORACLES = {
     "repeated_frames": """with e as (select event_id, user_id, 'breaking headline of the evening bulletin reads ' || event_type || ' ' || (props->>'k') as t, props->>'k' as k,
         row_number() over (partition by user_id order by ts, event_id) as n from events),
@@ -117,4 +134,7 @@ ORACLES = {
     "outbox_settled": """select event_id, (a + f)::int as attempts, f = 0 as published, f = 1 and a + 1 >= 4 as dead, case when f = 1 and a + 1 < 4 then least(300, 1 << (a + 1))::int else -1 end as delay
         from (select event_id, (event_id % 4)::int as a, (event_type in ('error', 'click'))::int as f from events where event_id % 3 <> 0 and event_id % 7 <> 0)""",
     "translated_by_memory": "with m as (select distinct p_name from part where p_brand = 'Brand#1') select p_partkey, case when m.p_name is null then reverse(part.p_name) else 'known ' || part.p_name end as translated, m.p_name is not null as cached from part left join m using (p_name)",
+    "taxonomy_terms": """with t as (select distinct p_brand as id, lower(p_name) as normalised from part), o as (select *, count(*) over (partition by normalised) > 1 or normalised = 'blue bolt' as needs from t)
+        select id, normalised, case normalised when 'small ring' then 'critical' when 'red widget' then 'high' else 'normal' end as priority, needs as requires_context, case when needs then 'part' else '' end as context from o""",
+    "translation_verdicts": "select p_partkey as id, true as approved, true as required, not contains(lower(p_name), 'ring') as forbidden, p_partkey % 7 <> 0 and not contains(lower(p_name), 'ring') as passed from part",
 }
