@@ -174,13 +174,17 @@ _LEFT, _RIGHT = frozenset(".,!?;:،؛۔؟)]}"), frozenset("([{")
 
 def reading(text: str) -> str:
     """A recognised line: NFKC, folded letters, without marks, single spaces."""
+    if text.isascii():
+        return " ".join(text.split())
     folded = unicodedata.normalize("NFKC", text).translate(_READING)
     return " ".join("".join(c for c in folded if unicodedata.category(c) != "Mn").split())
 
 
 def compared(text: str) -> str:
     """What two readings are compared by: letters and digits of the reading, in full case folding."""
-    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in reading(text).casefold()).split())
+    text = reading(text).casefold()
+    kept = re.sub("[^a-z0-9]+", " ", text) if text.isascii() else "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text)
+    return " ".join(kept.split())
 
 
 def term(text: str, language: str) -> str:
