@@ -49,12 +49,13 @@ def frame_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as sources, the turn that follows as their translation: to Urdu where the turn's number is even, from it else."""
+    """User turns as sources, the turn that follows as their translation: to Urdu where the turn's number is even, from it else.
+    Words, spaces and numbers are those of the SQL."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     pairs = c.where("role = 'user'").join(nxt, ["conv_id", "turn"])
     even = F.col("turn") % 4 == 0
-    checks = X.translation_checks(F.col("text"), F.col("target"), F.when(even, "en").otherwise("ur"), F.when(even, "ur").otherwise("en"))
+    checks = X.translation_checks(F.col("text"), F.col("target"), F.when(even, "en").otherwise("ur"), F.when(even, "ur").otherwise("en"), sql=True)
     scored = pairs.select("conv_id", "turn", X.translation_verdict(checks).alias("v"))
     return scored.select("conv_id", "turn", F.round("v.score", 6).alias("score"), "v.accepted", F.array_join(F.array_sort("v.issues"), ",").alias("issues"))
 

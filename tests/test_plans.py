@@ -116,3 +116,11 @@ def test_script_and_negation_of_odd_texts(spark, tmp_path):
     rows = [(0, k, "user", t) for k, t in enumerate((*ODD_TEXTS, None))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     _same_as_sql(spark, "script_and_negation", str(tmp_path))
+
+
+def test_translation_quality_of_odd_texts(spark, tmp_path):
+    texts = (*ODD_TEXTS, None)
+    pairs = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    rows = [(k, turn, role, t) for k, a, b in pairs for turn, role, t in ((k % 5 * 2, "user", a), (k % 5 * 2 + 1, "assistant", b))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    _same_as_sql(spark, "translation_quality", str(tmp_path))
