@@ -133,18 +133,32 @@ def classification_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item word for word: candidates by the item's first three words, then containment.
+    """Documents with a benchmark item in their text: candidates by three words inside the item, then containment.
 
-    Only places of an item's first word are looked at; texts are joined back to the candidates by doc_id.
+    An item may begin and end inside a word of the text, so its first and last words mark nothing; those between stand in
+    the text as they are. Of their runs of three (fewer, where the item has no more) the longest is the item's key; texts
+    are looked at only where a key's first word stands. Items without a word inside are compared with every text.
+    A digest stands for the text until candidates are found, so equal texts are looked at once and rows are kept apart.
     """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("key"))
-    firsts = [r[0] for r in items.select(F.substring_index("key", " ", 1)).distinct().limit(IN_PLAN + 1).collect()]
+    split = lambda c: F.split(F.translate(c, "\n", " "), " ")
+    run = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    w, inside = F.col("w"), F.size("w") - 2
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), split("text").alias("w")).withColumn("n", F.least(inside, F.lit(3)))
+    runs = F.transform(F.sequence(F.lit(2), F.size(w) - F.col("n")), lambda i: F.struct(F.length(run(w, i, F.col("n"))).alias("size"), run(w, i, F.col("n")).alias("key"), F.get(w, i - 1).alias("first")))
+    keyed = items.where("n > 0").withColumn("best", F.array_max(runs)).select("item_id", "item", "n", "best.key", "best.first")
+    sizes = [r[0] for r in keyed.select("n").distinct().collect()]
+    firsts = [r[0] for r in keyed.select("first").distinct().limit(IN_PLAN + 1).collect()]
     wanted = lambda x: x.isin(*firsts) if 0 < len(firsts) <= IN_PLAN else F.lit(True)
-    docs = _docs(spark, sf_dir)
-    words = docs.select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
-    keys = F.filter(F.transform("w", lambda x, i: F.when(wanted(x), F.array_join(F.slice(F.col("w"), i + 1, 3), " "))), lambda k: k.isNotNull())
-    met = words.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(items, "key").select("doc_id", "item_id", "item").distinct()
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id").distinct()
+    docs = _docs(spark, sf_dir).where("text is not null").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    places = F.filter(F.transform(split("text"), lambda x, i: F.when(wanted(x), i + 1)), lambda i: i.isNotNull())
+    words = docs.select("digest", split("text").alias("w"), places.alias("at")).where(F.size("at") > 0)
+    keyed_by = lambda n: F.transform("at", lambda i: F.struct(F.lit(n).alias("n"), run(w, i, n).alias("key")))
+    short = items.where("n <= 0").select("item_id", "item")
+    whole = docs.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    if not sizes:
+        return whole
+    met = words.select("digest", F.explode(F.array_distinct(F.flatten(F.array(*map(keyed_by, sizes))))).alias("k")).select("digest", "k.*").join(keyed, ["n", "key"]).select("digest", "item_id", "item").distinct()
+    return met.join(docs, "digest").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").unionAll(whole)
 
 
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,12 @@ def test_translation_quality_of_odd_texts(spark, tmp_path):
     rows = [(k, turn, role, t) for k, a, b in pairs for turn, role, t in ((k % 5 * 2, "user", a), (k % 5 * 2 + 1, "assistant", b))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     _same_as_sql(spark, "translation_quality", str(tmp_path))
+
+
+def test_benchmark_items_anywhere_in_a_text(spark, tmp_path):
+    items = ["One.\nTwo three four five six", "a b", "ab cd ef", "one", "", " lead and trail ", "w1 w2 w3 w4", "x\ny z", "same words here twice", "same words here twice", "Ünï çödé wörds ïn ït", None]
+    texts = [*items, "so. One.\nTwo three four five sixth", "One. Two three four five six", "tab cd eff", "xw1 w2 w3 w45", "w1 w2\nw3 w4", "no lead and trail, but  lead and trail  too", "bone", "a\nb", "ax\ny zz", "not the same words here twice over", "same words here twice"]
+    ids = [*range(len(texts) - 2), 3, None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    _same_as_sql(spark, "benchmark_containment", str(tmp_path))
