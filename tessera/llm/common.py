@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import session
+from tessera.session import shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Texts in an Arrow batch. They can be long, and JVM, Arrow and Python hold a batch at the same time.
 BATCH_ROWS = 500
@@ -29,17 +28,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`. Only a local session may go without it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -61,17 +49,3 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back; the folder goes when the driver ends.
-
-    Cuts the lineage like checkpoint(), survives lost executors, and gives the planner the true size,
-    so a later join broadcasts it only where that size is below `spark.sql.autoBroadcastJoinThreshold`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators.keywords import IN_PLAN, classify, keyword_hits
-from tessera.session import table
+from tessera.operators.similar_lines import similar_pairs
+from tessera.session import stored, table
 
 #: The taxonomy of these queries: category, term, whether it needs context, context terms, excluded terms, priority.
 TAXONOMY = (
@@ -25,6 +26,10 @@ TAXONOMY = (
 CATEGORY_TERMS = (("license", "software"), ("german", "für sch"), ("french", "avec"))
 
 
+#: What trims a line: Unicode's space separators. Ids of sentences that are sent to every executor; more are joined by a shuffle.
+SPACES, IDS_SENT = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", 2_000_000
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     rows = [(c, t, r, x.split(",") if x else [], e.split(",") if e else [], p) for c, t, r, x, e, p in TAXONOMY]
     return spark.createDataFrame(rows, "category string, term string, requires_context boolean, context_terms array<string>, excluded_terms array<string>, priority string")
@@ -76,16 +81,17 @@ def _lines(docs: DataFrame) -> DataFrame:
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct sentences of one language with token overlap of 0.5 or more, through shared tokens that are rare
     enough to mark a pair: the prefix of each sentence's tokens by rarity that any partner must share. Until a pair is
-    found, a digest stands for the sentence, which may be long; sizes must allow the overlap."""
-    sentences = _lines(_docs(spark, sf_dir)).select("lang", F.lower(F.trim("line")).alias("s")).distinct().withColumn("t", F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).where(F.size("t") >= 4).withColumn("k", F.md5("s"))
-    words = sentences.select("lang", "k", F.size("t").alias("n"), F.explode_outer("t").alias("w"))
-    ranked = words.join(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("df")), ["lang", "w"])
-    prefix = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy("df", "w"))).where("r <= n - ceil(0.5 * n) + 1").select("lang", "k", "n", "w", "r")
-    # At the first token that two sentences share, what is left of both must still allow the overlap.
-    met = prefix.toDF("lang", "ka", "na", "w", "ra").join(prefix.toDF("lang", "kb", "nb", "w", "rb"), ["lang", "w"]).where("ka < kb and 2 * least(na, nb) >= greatest(na, nb) and 3 * (1 + least(na - ra, nb - rb)) >= na + nb")
-    pairs = met.select("lang", "ka", "kb").distinct()
-    sets = sentences.select("lang", "k", "s", "t")
-    both = pairs.join(sets.toDF("lang", "ka", "sa", "ta"), ["lang", "ka"]).join(sets.toDF("lang", "kb", "sb", "tb"), ["lang", "kb"])
+    found, hashes stand for the sentence and its tokens; the tokens themselves then tell the overlap."""
+    lower = lambda c: F.lower(F.when(F.contains(c, F.lit("İ")) | F.contains(c, F.lit("Σ")), F.translate(c, "İΣ", "iσ")).otherwise(c))
+    lines = _lines(_docs(spark, sf_dir)).where("lang is not null").select("lang", lower(F.btrim("line", F.lit(SPACES))).alias("s")).withColumn("k", F.xxhash64("lang", "s"))
+    tokens = F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    hashed = lines.select("k", F.transform(tokens, lambda x: F.xxhash64("lang", x)).alias("hs")).where(F.size("hs") >= 4)
+    words = lines.select("lang", F.explode(F.split("s", " ")).alias("w")).select(F.xxhash64("lang", "w").alias("h"))
+    pairs = stored(similar_pairs(hashed, words))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+    sets = stored(lines.join(ids, "k", "left_semi").select("k", "lang", "s").distinct()).withColumn("t", tokens)
+    both = pairs.join(sets.toDF("a", "lang", "sa", "ta"), "a").join(sets.toDF("b", "lang_b", "sb", "tb"), "b").where("lang = lang_b")
     return both.withColumn("jaccard", F.round(T.token_jaccard(F.col("ta"), F.col("tb")), 6)).where("jaccard >= 0.5").select("lang", F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "jaccard")
 
 

@@ -133,3 +133,18 @@ def test_benchmark_items_anywhere_in_a_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     _same_as_sql(spark, "benchmark_containment", str(tmp_path))
+
+
+def test_packed_token_pairs_lose_none(spark, tmp_path, monkeypatch):
+    from tessera.operators import similar_lines
+
+    monkeypatch.setattr(similar_lines, "PART_ENTRIES", 300)  # several parts
+    monkeypatch.setattr(similar_lines, "HELD", 50)
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    lines = [" ".join(rng.choice(words[: rng.integers(12, 400)], rng.integers(3, 40))) for _ in range(150)]
+    lines += [" ".join(w for w in x.split() if rng.random() < keep) + " new" for x in lines for keep in (0.95, 0.75, 0.55)]
+    lines += [" Trimmed by odd spaces　", "trimmed by odd spaces", "ΑΣ β γ δ", "ας β γ δ", "x y z"]
+    rows = [(k, "\n".join(lines[k::40]), "en" if k % 3 else "de") for k in range(40)] + [(50, None, "en"), (51, "\n".join(lines[:9]), None), (52, "\n".join(lines[::40]), "en"), (53, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    _same_as_sql(spark, "token_jaccard_pairs", str(tmp_path))
