@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Counters of the tokens' order, entries that a task of the join holds on average, bits of a set's sketch (a multiple of 64).
-BUCKETS, PART_ENTRIES, BITS = 1 << 18, 3_000_000, 256
+BUCKETS, PART_ENTRIES, BITS = 1 << 18, 5_000_000, 512
 #: Pairs met that are held before repeats among them go.
 HELD = 4_000_000
 _PACKED = "part int, k binary, n binary, bits binary, held binary, h binary, r binary"
